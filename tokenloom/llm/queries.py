@@ -7,9 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenloom.llm import packing, token_store
+from tokenloom.llm import licenses, media, packing, piece_bpe, sharding, token_store
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +26,26 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.with_crc(token_store.token_store(_table(spark, sf_dir, "documents"), WORD_BPE))
 
 
+def op3_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.sample_features(media.store_and_sniff(_table(spark, sf_dir, "documents")))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summarize(licenses.scan_licenses(_table(spark, sf_dir, "documents")))
+
+
+def op6_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.digests(piece_bpe.encode_decode(_table(spark, sf_dir, "documents"), PIECE_BPE))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(_table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_best_fit_packing, op2_token_store]
+    found = [op1_best_fit_packing, op2_token_store, op3_media_sniffing, op4_license_scan, op6_piece_bpe, op9_sharding]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_sharding": sharding.oracle(sharding.SHARDS, sharding.SLOTS, "documents", "doc_id")}
