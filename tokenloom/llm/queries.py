@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenloom.llm import licenses, media, packing, piece_bpe, sharding, token_store
+from tokenloom.llm import ann, licenses, media, packing, piece_bpe, sharding, token_store, toxicity
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -34,16 +34,24 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.summarize(licenses.scan_licenses(_table(spark, sf_dir, "documents")))
 
 
+def op5_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.self_search(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.digests(piece_bpe.encode_decode(_table(spark, sf_dir, "documents"), PIECE_BPE))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predict(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_best_fit_packing, op2_token_store, op3_media_sniffing, op4_license_scan, op6_piece_bpe, op9_sharding]
+    found = [op1_best_fit_packing, op2_token_store, op3_media_sniffing, op4_license_scan, op5_permutation_index, op6_piece_bpe, op8_toxicity, op9_sharding]
     return {f.__name__: f for f in found}
 
 
