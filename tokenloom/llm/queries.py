@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenloom.llm import ann, licenses, media, packing, piece_bpe, sharding, token_store, toxicity
+from tokenloom.llm import ann, licenses, media, neardup, packing, piece_bpe, sharding, token_store, toxicity
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -50,8 +50,12 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
 
 
+def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_best_fit_packing, op2_token_store, op3_media_sniffing, op4_license_scan, op5_permutation_index, op6_piece_bpe, op8_toxicity, op9_sharding]
+    found = [op1_best_fit_packing, op2_token_store, op3_media_sniffing, op4_license_scan, op5_permutation_index, op6_piece_bpe, op8_toxicity, op9_sharding, op10_dart_minhash]
     return {f.__name__: f for f in found}
 
 

@@ -34,7 +34,7 @@ LEXICON_TERMS = 600
 #: A term stands in so many toxic texts at least, and its odds are so many times those elsewhere.
 MIN_TOXIC = 4
 MIN_LOG_ODDS = 2.0
-SAME_TEXTS = 0.8
+SAME_TEXTS = 0.98
 #: Beginnings of words that may be terms, by length; words from these lengths on may have 1 or 2 errors.
 STEMS = range(4, 9)
 ONE_ERROR, TWO_ERRORS = 5, 9
