@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tokenloom.llm import ann, licenses, media, neardup, packing, piece_bpe, sharding, token_store, toxicity
+from tokenloom.llm import ann, licenses, media, neardup, packing, pii, piece_bpe, sharding, token_store, toxicity
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -42,6 +43,11 @@ def op6_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.digests(piece_bpe.encode_decode(_table(spark, sf_dir, "documents"), PIECE_BPE))
 
 
+def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.replace(_table(spark, sf_dir, "documents").select("doc_id", "text"), spans="entities")
+    return found.select("doc_id", "text", F.size("entities").alias("n_entities"), F.array_join(F.transform("entities", lambda e: F.concat_ws(":", e["kind"], e["start"], e["end"])), ",").alias("entities"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -55,7 +61,7 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_best_fit_packing, op2_token_store, op3_media_sniffing, op4_license_scan, op5_permutation_index, op6_piece_bpe, op8_toxicity, op9_sharding, op10_dart_minhash]
+    found = [op1_best_fit_packing, op2_token_store, op3_media_sniffing, op4_license_scan, op5_permutation_index, op6_piece_bpe, op7_surrogates, op8_toxicity, op9_sharding, op10_dart_minhash]
     return {f.__name__: f for f in found}
 
 
