@@ -1,11 +1,15 @@
-"""The registered queries of the engine itself."""
+"""The registered queries of the engine itself, by family."""
 
 from __future__ import annotations
 
+from tokenloom.plans import encodings, models, text
+
+FAMILIES = [text, encodings, models]
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in FAMILIES for name, f in m.queries().items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for m in FAMILIES for name, sql in m.oracle_sql().items()}
