@@ -47,8 +47,11 @@ def bpe(suffix: str = "</w>") -> Decoder:
     def apply(tokens: Column) -> Column:
         if not suffix:
             return default(tokens)
-        spelled = F.transform(tokens, lambda t, i: F.replace(t, F.lit(suffix), F.when(i == F.size(tokens) - 1, F.lit("")).otherwise(F.lit(" "))))
-        return F.regexp_replace(F.array_join(spelled, ""), rf"[{SPACE_CLASS}]+\z", "")
+        # no lambda refers to the whole array: it would be made anew for each of its elements
+        spell = lambda part, by: F.transform(part, lambda t: F.replace(t, F.lit(suffix), F.lit(by)))
+        n = F.size(tokens)
+        parts = F.concat(spell(F.slice(tokens, F.lit(1), F.greatest(n - 1, F.lit(0))), " "), spell(F.slice(tokens, F.greatest(n, F.lit(1)), F.lit(1)), ""))
+        return F.regexp_replace(F.array_join(parts, ""), rf"[{SPACE_CLASS}]+\z", "")
 
     return apply
 
@@ -88,7 +91,8 @@ def ctc(pad: str = "<pad>", delimiter: str = "|", cleanup: bool = True) -> Decod
 
     def apply(tokens: Column) -> Column:
         kept = F.filter(tokens, lambda t: t != pad)
-        once = F.filter(kept, lambda t, i: (i == 0) | (t != F.get(kept, F.greatest(i - 1, F.lit(0)))))
+        before = F.concat(F.array(F.lit(None).cast("string")), kept)
+        once = F.array_compact(F.zip_with(kept, before, lambda t, b: F.when(~t.eqNullSafe(b), t)))
         text = F.replace(F.array_join(once, ""), F.lit(delimiter), F.lit(" ")) if delimiter else F.array_join(once, "")
         if not cleanup:
             return text

@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-from tokenloom.plans import encodings, models, text
+from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES = [text, encodings, models]
+from tokenloom.operators import encode
+from tokenloom.plans import artifacts, decoding, encodings, models, text
+
+FAMILIES = [text, encodings, models, decoding, artifacts]
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: all documents encoded with a WordPiece vocabulary, one row a token."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return encode.tokens_relation(encode.encode(docs, models.wordpiece_spec(spark, sf_dir)), keys=["doc_id"])
 
 
 def queries() -> dict:
