@@ -8,11 +8,12 @@ K ln K + 2 K of them, and keeps the earliest of each coordinate (throwing on, to
 rank, until none is empty). Two documents agree on a coordinate with the probability of their
 weighted Jaccard similarity, whatever their sizes.
 
-Signatures are cut into bands. Documents with a band in common are candidates; equal word
-sequences are one document beforehand. Within a band's group, documents that agree nearly
-everywhere gather around leaders, so that a large group of near copies costs no more than its
-members times its leaders; other pairs have to agree on enough coordinates. Links are then
-confirmed by the exact similarity of the shingle sets, and classes are the connected parts.
+Signatures are cut into bands; equal word sequences are one document beforehand. Documents
+with a band in common are compared by their whole signatures, and those that may be similar
+enough are connected into groups of candidates, which hold every link. Within a group, links
+are those of the exact similarity of the shingle sets, and classes are the connected parts.
+Both steps search along links, each document being compared with those not yet reached only:
+a group of mutual near copies takes comparisons and rows in proportion to its size.
 
 Defined results: a null text counts as empty; texts with equal words are one class whatever
 their number, the empty ones too; texts of fewer than five words are one shingle, so only
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenloom.llm.common import Words, map_batches, materialize, slices, splitmix
+from tokenloom.llm.common import Words, map_batches, materialize, ragged, slices, splitmix
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -39,13 +40,13 @@ SIMILARITY = 0.8
 COORDINATES = 128
 BAND = 5
 BANDS = COORDINATES // BAND
-#: Agreement that makes a leader's follower, and agreement below which a pair of similarity
-#: 0.8 is out of the question (over four standard deviations of 128 coordinates).
-FOLLOW = 0.95
+#: Agreement of signatures below which a similarity of 0.8 is out of the question (over four
+#: standard deviations of 128 coordinates).
 HOPELESS = 0.64
-#: Members of a band's group that meet in one task; larger groups are split into blocks, each
-#: pair of blocks meeting in a task.
+#: Members of a band's group, and of a group of candidates with their sets, that meet in one
+#: task; larger groups are split into blocks, each pair of blocks meeting in a task.
 BLOCK = 8192
+SET_BLOCK = 2048
 
 _TERM = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -176,85 +177,115 @@ def agreeing(sig: np.ndarray, others: np.ndarray) -> np.ndarray:
     return (others == sig).mean(axis=1)
 
 
-def group_pairs(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs within one group: followers with their leader; and of each two
-    clusters the best partner of every member, where it agrees enough."""
-    g = len(sig)
-    leader_of, leaders = np.full(g, -1), []
-    left = np.arange(g)
+def similar(x: int, others: np.ndarray, flat: np.ndarray, begin: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of the others' sets have this Jaccard similarity with x's, exactly. Set i is
+    flat[begin[i]:begin[i + 1]], ascending."""
+    own = flat[begin[x] : begin[x + 1]]
+    sizes = begin[others + 1] - begin[others]
+    values, ends = ragged(flat, begin[others], sizes)
+    if not len(own):
+        return sizes == 0
+    hit = own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values
+    total = np.concatenate([[0], np.cumsum(hit)])
+    common = total[ends[1:]] - total[ends[:-1]]
+    return common >= similarity * (len(own) + sizes - common)
+
+
+def connected(sig: np.ndarray, links) -> np.ndarray:
+    """For each member the first one that it is connected with. ``links(x, others)`` tells
+    which others x is linked with; pairs that agree too little aren't asked for. A member
+    that is reached is compared with those not yet reached only, so a group whose members
+    are all alike takes one round of comparisons, however large it is."""
+    root = np.arange(len(sig))
+    left = np.arange(len(sig))
     while len(left):
-        head, rest = left[0], left[1:]
-        leader_of[head] = head
-        leaders.append(head)
-        follows = agreeing(sig[head], sig[rest]) >= FOLLOW
-        leader_of[rest[follows]] = head
-        left = rest[~follows]
-    a, b = [leader_of], [np.arange(g)]
-    heads = np.array(leaders)
-    size = np.bincount(leader_of, minlength=g)
-    far = HOPELESS - 2 * (1 - FOLLOW)
-    for i, head in enumerate(heads[:-1]):
-        others = heads[i + 1 :]
-        share = agreeing(sig[head], sig[others])
-        lone = (size[others] == 1) & (size[head] == 1)
-        near = others[lone & (share >= HOPELESS)]
-        a.append(np.full(len(near), head))
-        b.append(near)
-        for other in others[~lone & (share >= far)]:
-            x, y = np.flatnonzero(leader_of == head), np.flatnonzero(leader_of == other)
-            both = np.stack([agreeing(sig[m], sig[y]) for m in x])
-            for p, q in ((x, y[both.argmax(axis=1)]), (x[both.argmax(axis=0)], y)):
-                share2 = (sig[p] == sig[q]).mean(axis=1)
-                a.append(p[share2 >= HOPELESS])
-                b.append(q[share2 >= HOPELESS])
-    a, b = np.concatenate(a), np.concatenate(b)
-    return a[a != b], b[a != b]
-
-
-def _pairs_of_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, x, y, cid, sig) that come sorted by the first three; pairs of cid."""
-    kept: pa.Table | None = None
-
-    def work(table: pa.Table, last: bool) -> tuple[pa.RecordBatch, pa.Table]:
-        cols = [table.column(i).to_numpy() for i in range(3)]
-        new = np.ones(table.num_rows, bool)
-        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols]) if table.num_rows > 1 else True
-        starts = np.flatnonzero(new)
-        stop = table.num_rows if last else int(starts[-1])
-        cid = table.column(3).to_numpy()
-        sig = np.frombuffer(b"".join(table.column(4).slice(0, stop).to_pylist()), np.uint16).reshape(stop, COORDINATES)
-        ends = np.append(starts[starts < stop], stop)
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-            if j - i > 1:
-                p, q = group_pairs(sig[i:j])
-                a.append(cid[i + p])
-                b.append(cid[i + q])
-        a, b = np.concatenate(a), np.concatenate(b)
-        ab = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], names=["a", "b"]), table.slice(stop)
-
-    for batch in batches:
-        if batch.num_rows:
-            table = pa.Table.from_batches([batch])
-            out, kept = work(pa.concat_tables([kept, table]) if kept is not None and kept.num_rows else table, False)
-            yield out
-    if kept is not None and kept.num_rows:
-        yield work(kept, True)[0]
-
-
-def candidate_pairs(contents: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of contents (cid, sig, bands) that may be similar enough."""
+        seed, left = left[0], left[1:]
+        queue = [seed]
+        while queue and len(left):
+            x = queue.pop()
+            near = left[agreeing(sig[x], sig[left]) >= HOPELESS]
+            found = near[links(x, near)] if len(near) else near
+            if len(found):
+                root[found] = seed
+                queue += found.tolist()
+                left = left[~np.isin(left, found, assume_unique=True)]
+    return root
+
+
+def _grouped(fn):
+    """Runs ``fn`` over the groups of rows (g, x, y, cid, sig, ...) that come sorted by the
+    first three; it gives each member's root, and the links (root, member) go out. One
+    group is in memory at a time, beside a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: pa.Table | None = None
+
+        def work(table: pa.Table, last: bool) -> tuple[pa.RecordBatch, pa.Table]:
+            cols = [table.column(i).to_numpy() for i in range(3)]
+            new = np.ones(table.num_rows, bool)
+            new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
+            starts = np.flatnonzero(new)
+            stop = table.num_rows if last else int(starts[-1])
+            edges = np.append(starts[starts < stop], stop).tolist()
+            cid, pairs = table.column(3).to_numpy(), [np.zeros((0, 2), np.int64)]
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                if j - i > 1:
+                    root, own = fn(table.slice(i, j - i)), cid[i:j]
+                    pairs.append(np.column_stack([own[root], own])[root != np.arange(j - i)])
+            ab = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], names=["a", "b"]), table.slice(stop)
+
+        for batch in batches:
+            if batch.num_rows:
+                table = pa.Table.from_batches([batch])
+                out, kept = work(pa.concat_tables([kept, table]) if kept is not None and kept.num_rows else table, False)
+                yield out
+        if kept is not None and kept.num_rows:
+            yield work(kept, True)[0]
+
+    return run
+
+
+def _signatures(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(4).to_pylist()), np.uint16).reshape(table.num_rows, COORDINATES)
+
+
+def _resembling(table: pa.Table) -> np.ndarray:
+    """Roots of members connected by signatures that agree enough."""
+    return connected(_signatures(table), lambda x, others: np.ones(len(others), bool))
+
+
+def _linked(similarity: float):
+    """Roots of members connected by the exact similarity of their sets."""
+
+    def run(table: pa.Table) -> np.ndarray:
+        lists = table.column(5).combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        flat = lists.flatten().to_numpy().view(np.uint64)
+        begin = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        return connected(_signatures(table), lambda x, others: similar(x, others, flat, begin, similarity))
+
+    return run
+
+
+def _in_blocks(members: DataFrame, group: str, block: int) -> DataFrame:
+    """Rows (group, x, y, cid): members of groups larger than ``block`` are split into
+    blocks, and every two blocks meet."""
+    sizes = members.groupBy(group).agg(F.count("*").alias("size")).where("size > 1")
+    met = members.join(sizes, group).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+    met = met.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    met = met.select(group, "cid", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return met.select(group, F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "cid")
+
+
+def candidate_groups(contents: DataFrame) -> DataFrame:
+    """cid and group of the contents (cid, sig, bands) that may be similar enough to another:
+    every two such contents are in one group, as all those are that signatures connect."""
     posted = contents.select(F.explode("bands").alias("bucket"), "cid")
-    groups = posted.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    met = posted.join(groups, "bucket")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    met = met.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    met = met.select("bucket", "cid", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    met = met.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "cid")
-    signed = met.join(contents.select("cid", "sig"), "cid").select("bucket", "x", "y", "cid", "sig")
+    signed = _in_blocks(posted, "bucket", BLOCK).join(contents.select("cid", "sig"), "cid").select("bucket", "x", "y", "cid", "sig")
     dealt = signed.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "cid")
-    return map_batches(dealt, _pairs_of_groups, "a long, b long").distinct()
+    found = components(map_batches(dealt, _grouped(_resembling), "a long, b long").distinct(), "groups")
+    return materialize(found.select(F.col("node").alias("cid"), F.col("root").alias("group")).union(found.select("root", "root").distinct()), "near-groups")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -274,21 +305,22 @@ def _sets(texts: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, contents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs a < b of contents whose shingle sets have at least this Jaccard similarity."""
-    pairs = materialize(candidate_pairs(contents), "near-pairs")
-    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct().join(contents.select("cid", "k1", "k2", "rep"), "cid")
+    """Pairs of contents that connect all whose shingle sets have at least this Jaccard
+    similarity: of each connected part and pair of blocks a star, every ray in that part."""
+    groups = candidate_groups(contents)
+    wanted = groups.join(contents.select("cid", "k1", "k2", "rep"), "cid")
     some_id = lambda c: F.coalesce(c, F.lit(-(1 << 63)))
     texts = _text_columns(docs).withColumn("id", some_id(F.col("doc_id"))).join(wanted.withColumn("id", some_id(F.col("rep"))), "id")
-    sets = materialize(_sets(texts.select("k1", "k2", "cid", F.coalesce("text", F.lit("")).alias("text"))), "near-sets")
-    side = lambda c: sets.select(F.col("cid").alias(c), F.col("shingles").alias(f"of_{c}"))
-    common = F.size(F.array_intersect("of_a", "of_b"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(common >= similarity * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
+    sets = _sets(texts.select("k1", "k2", "cid", F.coalesce("text", F.lit("")).alias("text"))).join(contents.select("cid", "sig"), "cid")
+    full = _in_blocks(groups, "group", SET_BLOCK).join(materialize(sets, "near-sets"), "cid").select("group", "x", "y", "cid", "sig", "shingles")
+    dealt = full.repartition("group", "x", "y").sortWithinPartitions("group", "x", "y", "cid")
+    return map_batches(dealt, _grouped(_linked(similarity)), "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, label: str = "links") -> DataFrame:
     """node, root: the smallest node that each node of the edges (a, b) is connected with.
     Large and small stars by turns: neighbours hang on the smallest one, until nothing moves."""
-    edges, before = materialize(edges, "edges-0"), None
+    edges, before = materialize(edges, f"{label}-0"), None
     for turn in range(1, 200):
         stats = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if not stats[0] or stats == before:
@@ -300,7 +332,7 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", "m")).where("a <> b").distinct()
-        edges = materialize(small, f"edges-{turn}")
+        edges = materialize(small, f"{label}-{turn}")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
