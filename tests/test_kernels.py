@@ -251,3 +251,13 @@ def test_pretrained_goes_through_the_cache(tmp_path):
     assert loader.split_model_id("org/model@v2") == ("org/model", "v2")
     with pytest.raises(FileNotFoundError):
         loader.load("other/model", loader.LoadOptions(cache_dir=str(tmp_path)))
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    code = "import __spark_entry__ as e; print(len(e.queries()) >= len(e.oracle_sql()) > 80)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True).stdout.strip() == "True"

@@ -200,19 +200,20 @@ def plain() -> PostProcessor:
 
 
 def bert(cls: tuple[str, int], sep: tuple[str, int]) -> PostProcessor:
-    c, s = token(cls[1], cls[0]), token(sep[1], sep[0])
+    # columns are made when called: a processor can be defined before any session is there
+    c, s = (lambda: token(cls[1], cls[0])), (lambda k=0: token(sep[1], sep[0], k))
     own = lambda x, k: set_sequence(with_type(_clear_specials(x), k), k)
-    return PostProcessor(lambda a: merge([c, own(a, 0), s]), lambda a, b: merge([c, own(a, 0), s, own(b, 1), token(sep[1], sep[0], 1)]), 2, 3)
+    return PostProcessor(lambda a: merge([c(), own(a, 0), s()]), lambda a, b: merge([c(), own(a, 0), s(), own(b, 1), s(1)]), 2, 3)
 
 
 def roberta(cls: tuple[str, int], sep: tuple[str, int], trim_offsets: bool = True, add_prefix_space: bool = True) -> PostProcessor:
-    c, s = token(cls[1], cls[0]), token(sep[1], sep[0])
+    c, s = (lambda: token(cls[1], cls[0])), (lambda: token(sep[1], sep[0]))
 
     def own(x: Enc, k: int) -> Enc:
         x = trim_byte_level(x, add_prefix_space) if trim_offsets else x
         return set_sequence(with_type(x, 0), k)
 
-    return PostProcessor(lambda a: merge([c, own(a, 0), s]), lambda a, b: merge([c, own(a, 0), s, s, own(b, 1), s]), 2, 4)
+    return PostProcessor(lambda a: merge([c(), own(a, 0), s()]), lambda a, b: merge([c(), own(a, 0), s(), s(), own(b, 1), s()]), 2, 4)
 
 
 def template(single: Sequence[str], pair: Sequence[str] | None, specials: dict[str, tuple[list[int], list[str]]]) -> PostProcessor:

@@ -292,7 +292,16 @@ QUERIES = {
     "added_token_split": added_token_split,
 }
 
-_TURNS = "(select q.conv_id * 1000 + q.turn k, q.conv_id, q.turn, q.text, a.text answer from conversations q join conversations a on a.conv_id = q.conv_id and a.turn = q.turn + 1 where q.role = 'user' and a.role = 'assistant')"
+_TURNS = "turns as (select q.conv_id * 1000 + q.turn k, q.conv_id, q.turn, q.text, a.text answer from conversations q join conversations a on a.conv_id = q.conv_id and a.turn = q.turn + 1 where q.role = 'user' and a.role = 'assistant')"
+
+
+def _pair_sql() -> str:
+    """Both texts of a turn as rows of one table, encoded together, then put side by side."""
+    base = _encoded_sql("", "both", "b")
+    ids, types = "flatten([[2], x.ids, [3], y.ids, [3]])", "flatten([[0], list_transform(x.ids, lambda v: 0), [0], list_transform(y.ids, lambda v: 1), [1]])"
+    given = f'with recursive {_TURNS}, "both" as (select k * 2 b, text from turns union all select k * 2 + 1, answer from turns),'
+    return base.replace("with recursive", given, 1).replace("from both", 'from "both"') + f"select conv_id, turn, len({ids})::bigint n, md5({_TEXT(ids)}) ids_md5, md5({_TEXT(types)}) types_md5 from turns join enc x on x.b = k * 2 join enc y on y.b = k * 2 + 1"
+
 
 SQL = {
     "wordpiece_word_pieces": f"with recursive {_VOCAB}, seg as (select w from freq), {_GREEDY} select w, array_to_string(toks, ' ') pieces from wp",
@@ -301,6 +310,7 @@ SQL = {
     "encode_to_ids": _encoded_sql(f"select doc_id, {_TEXT(f'({_WITH})[1:8]')} ids from enc"),
     "count_tokens": _encoded_sql("select doc_id, len(ids)::bigint + 2 n_tokens from enc"),
     "count_tokens_by_group": _encoded_sql("select lang, count(*) docs, sum(len(ids) + 2)::bigint tokens from enc join documents using (doc_id) group by lang"),
+    "encode_pair": _pair_sql(),
     "bpe_encode": f"with recursive {_FREQ}, {_PAIRS}, {_MERGED('pairs', 'w', 'mm.l = b.s[i] and mm.r = b.s[i + 1]')}",
     "bpe_segments": _SEGMENTS(gpt2_segments_sql("text")),
     "tiktoken_encode": f"with recursive {_FREQ}, {_PAIRS}, toks as (select l || r t, min(rk) rk from pairs group by 1), {_MERGED('toks', 'w', 'mm.t = b.s[i] || b.s[i + 1]')}",
