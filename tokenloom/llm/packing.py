@@ -2,10 +2,10 @@
 
 Items are dealt at random to groups of a bounded number of rows and each group is packed by
 best-fit decreasing. Dual-feasible functions give a lower bound on the bins a group needs:
-where best fit meets it, the group is certified, and keeps all bins but its emptiest one.
-A group with a gap to its bound gives back every bin that isn't full. The given-back items
-form the next, much smaller round, dealt anew with those of other groups, until one group
-holds all that is left. No step sees more than ``GROUP_ROWS`` items of a group at once, and
+where best fit meets it, the group is certified, and keeps all bins that are nearly full. A
+group with a gap to its bound gives back every bin that isn't full. The given-back items
+form the next, smaller round, dealt anew with those of other groups, until one group holds
+all that is left or a fixed number of rounds is over. No step sees more than ``GROUP_ROWS`` items of a group at once, and
 no step needs the ids themselves.
 
 Defined results: a null text counts as empty (its only id is the end id); equal and
@@ -32,6 +32,10 @@ CAPACITY = 4096
 END_ID = 1
 #: Items that one group packs at once, on average.
 GROUP_ROWS = 4096
+#: A certified group gives back bins with more than this part of the capacity free, since
+#: other groups may have what fits. Rounds end here even if much is still given back.
+SLACK = 128
+ROUNDS = 6
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, item long"
 
@@ -128,10 +132,9 @@ def _placer(capacity: int, level: int, last: bool, names: list[str]):
         bound = lower_bound(lengths, capacity)
         if last:
             back = np.zeros(len(free), bool)
-        elif len(free) > bound:
-            back = free > 0
         else:
-            back = np.arange(len(free)) == free.argmax()
+            back = free > (0 if len(free) > bound else capacity // SLACK)
+            back[free.argmax()] = True
         return pdf.assign(sequence_id=(level << 56) + (int(key[0]) << 28) + bins, offset=offset, round=np.int32(level), group_bins=len(free), group_bound=bound, given_back=back[bins])[names]
 
     return place
@@ -146,7 +149,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROW
     while True:
         left = pool.count()
         groups = max(1, -(-left // group_rows))
-        last = groups == 1
+        last = groups == 1 or level + 1 == ROUNDS
 
         group = F.pmod(F.xxhash64("item", F.lit(level)), F.lit(groups)).alias("group")
         placed = materialize(pool.groupBy(group).applyInPandas(_placer(capacity, level, last, out_schema.names), out_schema), f"packing-{level}")
