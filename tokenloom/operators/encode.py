@@ -8,7 +8,8 @@ from __future__ import annotations
 import threading
 import weakref
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,36 +38,42 @@ def broadcast_model(spark: SparkSession, model: object):
 def _word_kernel(shared, limit: int | None):
     """Pieces of segments given as an array; offsets follow from the segments' places."""
 
-    @F.pandas_udf(PIECES)
-    def run(texts: pd.Series, segments: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf(PIECES)
+    def run(texts: pa.Array, segments: pa.Array) -> pa.Array:
         model, rows = shared.value, []
-        for text, parts in zip(texts, segments, strict=True):
+        for text, parts in zip(texts.to_pylist(), segments.to_pylist(), strict=True):
             if text is None or parts is None:
-                rows.append((None,) * 4)
+                rows.append(None)
                 continue
             at, placed = 0, []
             for p in parts:
                 at = text.find(p, at)
                 placed.append((p, at))
                 at += len(p)
-            rows.append(_columns(model.encode(placed, limit)))
-        return pd.DataFrame(rows, columns=PIECES.names)
+            rows.append(model.encode(placed, limit))
+        return _arrow(rows)
 
     return run
 
 
 def _text_kernel(shared, limit: int | None):
-    @F.pandas_udf(PIECES)
-    def run(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf(PIECES)
+    def run(texts: pa.Array) -> pa.Array:
         model = shared.value
-        rows = [(None,) * 4 if t is None else _columns(model.encode(t, limit)) for t in texts]
-        return pd.DataFrame(rows, columns=PIECES.names)
+        return _arrow([None if t is None else model.encode(t, limit) for t in texts.to_pylist()])
 
     return run
 
 
-def _columns(pieces) -> tuple:
-    return [p.id for p in pieces], [p.token for p in pieces], [{"start": p.start, "end": p.end} for p in pieces], [p.word for p in pieces]
+def _arrow(rows: list) -> pa.StructArray:
+    """Pieces of all rows as one struct array; a row without a text has null fields."""
+    ends = np.cumsum([0, *(len(r) if r else 0 for r in rows)], dtype=np.int32)
+    flat = [p for r in rows if r for p in r]
+    ids, tokens, starts, stops, words = zip(*flat, strict=True) if flat else ((),) * 5
+    spots = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(stops, pa.int32())], names=["start", "end"])
+    lost = pa.array([r is None for r in rows], pa.bool_())
+    lists = [pa.ListArray.from_arrays(pa.array(ends), x, mask=lost) for x in (pa.array(ids, pa.int32()), pa.array(tokens, pa.string()), spots, pa.array(words, pa.int32()))]
+    return pa.StructArray.from_arrays(lists, names=PIECES.names)
 
 
 class BpeWithAdded:
