@@ -70,7 +70,7 @@ class Bpe:
             merged = merge([s for s, _, _ in first], lambda a, b: self.rules.get((a, b)))
             found = [(self.vocab[s], s, first[i][1], first[j - 1][2]) for s, i, j in merged]
             if len(segment) < 64:
-                if len(self.known) > 500_000:
+                if len(self.known) > 100_000:
                     self.known.clear()
                 self.known[segment] = found
         return found

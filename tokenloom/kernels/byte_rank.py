@@ -50,7 +50,7 @@ class ByteRank:
                 merged = merge([data[i : i + 1] for i in range(len(data))], rank)
                 found = [(self.ranks[s], owner[i][0], owner[j - 1][1]) for s, i, j in merged]
             if len(text) < 64:
-                if len(self.known) > 500_000:
+                if len(self.known) > 100_000:
                     self.known.clear()
                 self.known[text] = found
         return found

@@ -22,6 +22,8 @@ from tokenloom.spec import PIECES, EncodeOptions, PaddingMode, TokenizerSpec, Tr
 
 _BROADCAST: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 _LOCK = threading.Lock()
+#: Characters of texts whose pieces are Python objects at a time.
+PART = 1 << 18
 
 
 def broadcast_model(spark: SparkSession, model: object):
@@ -59,8 +61,14 @@ def _word_kernel(shared, limit: int | None):
 def _text_kernel(shared, limit: int | None):
     @F.arrow_udf(PIECES)
     def run(texts: pa.Array) -> pa.Array:
-        model = shared.value
-        return _arrow([None if t is None else model.encode(t, limit) for t in texts.to_pylist()])
+        model, done, rows, held = shared.value, [], [], 0
+        for text in texts.to_pylist():
+            rows.append(None if text is None else model.encode(text, limit))
+            held += len(text or "")
+            if held >= PART:
+                done.append(_arrow(rows))
+                rows, held = [], 0
+        return pa.concat_arrays([*done, _arrow(rows)])
 
     return run
 

@@ -7,11 +7,13 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tokenloom.artifacts import piece_model as pm
-from tokenloom.artifacts.registry import MODELS, PREFIXES
+from tokenloom.artifacts.registry import MODELS, PREFIXES, resolve
 from tokenloom.functions import normalizers as N
 from tokenloom.functions import pretokenizers as P
+from tokenloom.kernels.alphabet import BYTE_TO_CHAR, to_alphabet
 from tokenloom.kernels.bpe import AddedTokens, Bpe
 from tokenloom.kernels.byte_rank import ByteRank
+from tokenloom.kernels.charsmap import build_charsmap
 from tokenloom.kernels.piece_models import PieceMerges, Unigram
 from tokenloom.kernels.tokens import WordTokens as _Tokens
 from tokenloom.kernels.wordpiece import WordPiece
@@ -157,6 +159,67 @@ def decode_ids_wordpiece(spark, sf_dir):
     return D.decode(out, spec, skip_special_tokens=True).select("doc_id", F.col("decoded").alias("value"))
 
 
+def _common(spark, sf_dir) -> list[str]:
+    """The commonest words of any letters, by (count, word)."""
+    found = _docs(spark, sf_dir).select(F.explode(P.matches(F.col("text"), r"\p{L}+")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    return [r["w"] for r in found.where("length(w) between 2 and 12").orderBy(F.desc("n"), "w").limit(TOP).collect()]
+
+
+def _chains(words: list) -> list[tuple]:
+    """Merges that build each word from its first symbol on, the short ones first."""
+    return [(a, b) for _, a, b in sorted({(k, w[:k], w[k : k + 1]) for w in words for k in range(1, len(w))})]
+
+
+def bpe_spec(spark, sf_dir) -> TokenizerSpec:
+    """Byte-level, with two added tokens."""
+    rules = _chains([to_alphabet((s + w).encode()) for w in _common(spark, sf_dir) for s in ("", " ")])
+    vocab = {t: i for i, t in enumerate(dict.fromkeys([*BYTE_TO_CHAR.values(), *(a + b for a, b in rules)]))}
+    added = (AddedToken(len(vocab), "<|endoftext|>", normalized=False, special=True), AddedToken(len(vocab) + 1, "##"))
+    return TokenizerSpec("Bpe", Bpe(vocab, rules, BpeOptions(byte_level=True)), added_tokens=added)
+
+
+def tiktoken_spec(spark, sf_dir) -> TokenizerSpec:
+    """The pattern and specials of cl100k_base."""
+    ranks = {bytes([b]): b for b in range(256)}
+    for a, b in _chains([(s + w).encode() for w in _common(spark, sf_dir) for s in ("", " ")]):
+        ranks.setdefault(a + b, len(ranks))
+    _, pattern, specials = resolve("cl100k_base")
+    return TokenizerSpec("Tiktoken", ByteRank(ranks, pattern, specials))
+
+
+_CONTROLS = [("<unk>", pm.UNKNOWN), ("<s>", pm.CONTROL), ("</s>", pm.CONTROL)]
+_MAPPED = {"\n": " ", "\t": " ", "\u00a0": " ", "“": '"', "”": '"', "’": "'", "…": "..."}
+
+
+def unigram_spec(spark, sf_dir) -> TokenizerSpec:
+    """With a character map, extra white space removed, and a space put before."""
+    top = _common(spark, sf_dir)
+    rows = [(f"▁{w}", -8 - i / 64) for i, w in enumerate(top)] + [(w, -9 - i / 64) for i, w in enumerate(top)]
+    rows += [(c, -14 - i / 64) for i, c in enumerate(["▁", *sorted({*"".join(top), *".,"})])]
+    pieces = [pm.Piece(i, t, 0.0, k) for i, (t, k) in enumerate(_CONTROLS)] + [pm.Piece(i + 3, t, x, pm.NORMAL) for i, (t, x) in enumerate(rows)]
+    return TokenizerSpec("SentencePieceUnigram", Unigram(pm.PieceModel(tuple(pieces), charsmap=build_charsmap(_MAPPED))))
+
+
+def sp_bpe_spec(spark, sf_dir) -> TokenizerSpec:
+    """Characters, then the commonest words and all their beginnings, each by (length, text)."""
+    top = _common(spark, sf_dir)
+    grown = {f"▁{w[:k]}" for w in top for k in range(1, len(w) + 1)} | {w[:k] for w in top for k in range(2, len(w) + 1)}
+    texts = sorted({"▁", *".,", *"".join(top)} | grown, key=lambda t: (len(t), t))
+    pieces = [pm.Piece(i, t, 0.0, k) for i, (t, k) in enumerate([*_CONTROLS, *((t, pm.NORMAL) for t in texts)])]
+    return TokenizerSpec("SentencePieceBpe", PieceMerges(pm.PieceModel(tuple(pieces), pm.BPE)))
+
+
+def _whole_texts(spec):
+    """Whole documents by this tokenizer: how many tokens, and digests of all ids, tokens and offsets."""
+
+    def run(spark, sf_dir):
+        out = E.encode(_docs(spark, sf_dir).select("doc_id", "text"), spec(spark, sf_dir))
+        spots = F.array_join(F.transform("encoding.offsets", lambda o: F.concat_ws(":", o["start"].cast("string"), o["end"].cast("string"))), " ")
+        return out.select("doc_id", F.size("encoding.ids").cast("long").alias("n"), F.md5(_ids()).alias("ids_md5"), F.md5(F.array_join("encoding.tokens", MARK)).alias("tokens_md5"), F.md5(spots).alias("offsets_md5"))
+
+    return run
+
+
 def token_to_id(spark, sf_dir):
     vocab = D.vocabulary(spark, wordpiece_spec(spark, sf_dir).model.vocab)
     return D.token_to_id(words(spark, sf_dir).select(F.col("w").alias("token")), vocab).select("token", "id")
@@ -279,12 +342,16 @@ QUERIES = {
     "tokens_relation": tokens_relation,
     "decode_ids_wordpiece": decode_ids_wordpiece,
     "bpe_encode": _per_word(_bpe),
+    "bpe_encode_text": _whole_texts(bpe_spec),
     "bpe_segments": bpe_segments,
     "tiktoken_encode": _per_word(_byte_rank),
+    "tiktoken_encode_text": _whole_texts(tiktoken_spec),
     "tiktoken_registry": tiktoken_registry,
     "unigram_encode": _per_word(_unigram),
+    "unigram_encode_text": _whole_texts(unigram_spec),
     "sp_bpe_merges": sp_bpe_merges,
     "sp_bpe_encode": _per_word(_piece_merges),
+    "sp_bpe_encode_text": _whole_texts(sp_bpe_spec),
     "sp_normalize_unigram": sp_normalize_unigram,
     "token_to_id": token_to_id,
     "id_to_token": id_to_token,
