@@ -132,3 +132,12 @@ def test_parts_of_a_batch_make_one_result(spark, sf):
     ids = {r.doc_id: r.ids for r in E.encode_to_ids(docs, models.bpe_spec(spark, sf)).collect()}
     assert [None if ids[k] is None else len(ids[k]) > 0 for k in (1, 2, 3, 4, 5)] == [True, None, False, True, True]
     assert len(ids[5]) == E.PART + 1 and len(ids[1]) >= E.PART
+
+
+def test_all_ids_are_returned(spark, sf):
+    spec = models.wordpiece_spec(spark, sf)
+    ids = {r.doc_id: r.ids for r in engine.queries()["encode_to_ids_whole"](spark, sf).collect()}
+    want = {r.doc_id: None if r.encoding is None else " ".join(map(str, r.encoding.ids)) for r in E.encode(spark.read.parquet(f"{sf}/documents.parquet"), spec).collect()}
+    assert ids == want and len(ids[TEXTS.index(LONG)].split(" ")) > 400
+    first = {r.doc_id: r.ids for r in engine.queries()["encode_to_ids"](spark, sf).collect()}
+    assert all(v is None or v == " ".join(ids[k].split(" ")[:8]) for k, v in first.items())

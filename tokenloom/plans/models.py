@@ -129,6 +129,12 @@ def encode_to_ids(spark, sf_dir):
     return out.select("doc_id", _ids("ids").alias("ids"))
 
 
+def encode_to_ids_whole(spark, sf_dir):
+    """All ids of every document."""
+    out = E.encode_to_ids(_docs(spark, sf_dir).select("doc_id", "text"), wordpiece_spec(spark, sf_dir))
+    return out.select("doc_id", _ids("ids").alias("ids"))
+
+
 def count_tokens(spark, sf_dir):
     out = E.count_tokens(_docs(spark, sf_dir).select("doc_id", "text"), wordpiece_spec(spark, sf_dir))
     return out.select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"))
@@ -336,6 +342,7 @@ QUERIES = {
     "wordpiece_encode": wordpiece_encode,
     "encode_max_tokens": encode_max_tokens,
     "encode_to_ids": encode_to_ids,
+    "encode_to_ids_whole": encode_to_ids_whole,
     "count_tokens": count_tokens,
     "count_tokens_by_group": count_tokens_by_group,
     "encode_pair": encode_pair,
