@@ -141,3 +141,28 @@ def test_all_ids_are_returned(spark, sf):
     assert ids == want and len(ids[TEXTS.index(LONG)].split(" ")) > 400
     first = {r.doc_id: r.ids for r in engine.queries()["encode_to_ids"](spark, sf).collect()}
     assert all(v is None or v == " ".join(ids[k].split(" ")[:8]) for k, v in first.items())
+
+
+def test_whole_texts_decode(spark, sf):
+    got = lambda name: {r.doc_id: r.value for r in engine.queries()[name](spark, sf).collect()}
+    given = dict(enumerate(TEXTS))
+    plain = lambda t, *drop: t if t is None else regex.sub("|".join(map(regex.escape, drop)), "", t)
+    assert got("decode_ids_bpe") == {k: plain(t, "<|endoftext|>") for k, t in given.items()}  # specials are skipped
+    rank = got("decode_ids_tiktoken")
+    assert {k: t for k, t in rank.items() if "<|" not in (given[k] or "")} == {k: t for k, t in given.items() if "<|" not in (t or "")}
+    for name, (make, brute) in (("decode_ids_sentencepiece", BACKENDS["unigram"]), ("decode_ids_sp_bpe", BACKENDS["sp_bpe"])):
+        spec = make(spark, sf)
+        text_of = {p.id: p.text for p in spec.model.model.pieces}
+        for k, v in got(name).items():
+            assert v == (None if given[k] is None else "".join(text_of[w[0]] for w in brute(spec.model, spec, given[k])).replace("▁", " ").strip(" ")), given[k]
+
+
+def test_pieces_stand_in_the_original_text(spark, sf):
+    rows = engine.queries()["sp_offsets"](spark, sf).collect()
+    spec = models.unigram_spec(spark, sf)
+    for i, t in enumerate(TEXTS):
+        own = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.pos)
+        assert [r.token for r in own] == [w[1] for w in (brute_unigram(spec.model, spec, t) if t else [])]
+        if t and t == " ".join(t.split()) and not set(models._MAPPED) & set(t):  # nothing is moved by normalizing
+            # by the rule of offsets the mark put before stands nowhere, and a piece of place 0 alone has the place behind it
+            assert all(0 <= r.start < r.end <= len(t) and (r.token == "<unk>" or t[r.start : r.end] == r.token.replace("▁", "")) for r in own[2:] if r.token != "▁")

@@ -226,6 +226,23 @@ def _whole_texts(spec):
     return run
 
 
+def _decoded(spec):
+    """Whole documents encoded and decoded again by this tokenizer."""
+
+    def run(spark, sf_dir):
+        made = spec(spark, sf_dir)
+        out = E.encode_to_ids(_docs(spark, sf_dir).select("doc_id", "text"), made)
+        return D.decode(out, made, skip_special_tokens=True).select("doc_id", F.col("decoded").alias("value"))
+
+    return run
+
+
+def sp_offsets(spark, sf_dir):
+    """Where the pieces of whole documents stand in the original text: one row a token."""
+    out = E.encode(_docs(spark, sf_dir).select("doc_id", "text"), unigram_spec(spark, sf_dir))
+    return E.tokens_relation(out, keys=["doc_id"]).select("doc_id", "pos", "token", "start", "end")
+
+
 def token_to_id(spark, sf_dir):
     vocab = D.vocabulary(spark, wordpiece_spec(spark, sf_dir).model.vocab)
     return D.token_to_id(words(spark, sf_dir).select(F.col("w").alias("token")), vocab).select("token", "id")
@@ -348,6 +365,11 @@ QUERIES = {
     "encode_pair": encode_pair,
     "tokens_relation": tokens_relation,
     "decode_ids_wordpiece": decode_ids_wordpiece,
+    "decode_ids_bpe": _decoded(bpe_spec),
+    "decode_ids_tiktoken": _decoded(tiktoken_spec),
+    "decode_ids_sentencepiece": _decoded(unigram_spec),
+    "decode_ids_sp_bpe": _decoded(sp_bpe_spec),
+    "sp_offsets": sp_offsets,
     "bpe_encode": _per_word(_bpe),
     "bpe_encode_text": _whole_texts(bpe_spec),
     "bpe_segments": bpe_segments,
