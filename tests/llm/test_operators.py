@@ -266,6 +266,15 @@ def test_surrogates_keep_shape_and_identity(spark, docs, none):
     assert pii.replace(none).collect() == []
 
 
+def test_secrets_of_letters_alone_are_found(monkeypatch):
+    texts = [f"see {x} there" for x in ("AKIA" + "ABCDEFGHIJKLMNOP", "ghp_" + "abcdefghij" * 3, "gho_" + "ABCDEFGHIJ" * 2, "sk-" + "abcdefghij" * 3, "abcdef" * 6)]
+    for t in texts:
+        assert [(k, t[a:b]) for k, a, b in pii.detect(t)] == [("secret", t[4:-6])] and t[4:-6] not in pii.anonymize(t)[0]
+    found = [pii.detect(t) for t in [*texts, PRIVATE, "nothing here", "Dr. Who", "ask-me AKIA sk-"]]
+    monkeypatch.setattr(pii, "_LIKELY", re.compile(""))  # the prefilter hides nothing
+    assert found == [pii.detect(t) for t in [*texts, PRIVATE, "nothing here", "Dr. Who", "ask-me AKIA sk-"]]
+
+
 def test_surrogates_are_permutations(spark):
     for n in (2, 7, 1000):
         made = [pii.permute(i, n, "k") for i in range(n)]

@@ -61,7 +61,7 @@ PATTERNS = [
     ("name", rf"\b(?:{TITLES})\.? (?=(?P<v>[^\W\d_]+(?:-[^\W\d_]+)?(?: [^\W\d_]+(?:-[^\W\d_]+)?){{0,2}}))"),
 ]
 _COMPILED = [(kind, re.compile(p)) for kind, p in PATTERNS]
-_LIKELY = re.compile(rf"[@\d]|\b(?:{TITLES})\b|(?i:token|secret|key|passw|pwd)|[0-9A-Fa-f]{{32}}")
+_LIKELY = re.compile(rf"[@\d]|\b(?:{TITLES})\b|(?i:token|secret|key|passw|pwd)|AKIA|gh[pousr]_|sk-|[0-9A-Fa-f]{{32}}")
 
 
 def _feistel(value: int, size: int, key: str, back: bool = False) -> int:
