@@ -8,9 +8,10 @@ and it needs no memory: distinct entities stay distinct and equal ones equal, in
 and on all machines. Separators, case, script, country and area layout, card check digits,
 IBAN checks and domains' last parts keep their form. Listed given names are permuted among
 those of their gender; other names letter by letter among the vowels or consonants of their
-script, the ending kept, since endings mark gender. Surrogates that differ in shape only could
-still look alike after case folding, so each text's replacements are checked, and one that
-collides is drawn again under the next key.
+script, the ending kept, since endings mark gender. Every maker brings values that differ by
+more than case to surrogates that do so too, invalid numbers and odd spellings included: what
+would look like a value of another class (a hexadecimal secret, a listed name, a valid check)
+is passed over on the walk. So an entity has one surrogate, whatever text it stands in.
 
 Defined results: a null text stays null and has no entities; an empty one stays empty; texts
 without entities are unchanged; equal rows are changed equally; a null n_chars stays null;
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tokenloom.kernels.pieces import lower_each
 from tokenloom.llm.common import map_batches, slices
 
 #: The default key; a deployment gives its own secret.
@@ -36,6 +39,7 @@ KEY = "tokenloom-surrogates"
 #: Alphabets whose letters are exchanged among themselves (fixed values).
 ALPHABETS = ["0123456789", "aeiouy", "bcdfghjklmnpqrstvwxz", "áàâäéèêëíìîïóòôöúùûü", "çñß", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ"]
 _GROUP = {c: (a, i) for a in ALPHABETS for i, c in enumerate(a)}
+_GROUP["ς"] = _GROUP["σ"]
 HEX = "0123456789abcdef"
 
 #: Given names by gender and script (fixed values).
@@ -98,10 +102,19 @@ def respell(text: str, key: str, groups=_GROUP.get) -> str:
     value, out = permute(value, size, f"{key}:{shape}"), list(text)
     for i, alphabet, _ in reversed(spots):
         value, digit = divmod(value, len(alphabet))
-        out[i] = alphabet[digit].upper() if text[i].isupper() else alphabet[digit]
+        out[i] = _upper(alphabet[digit]) if text[i].isupper() else alphabet[digit]
     return "".join(out)
 
 
+def _upper(c: str) -> str:
+    return "ẞ" if c == "ß" else c.upper()
+
+
+def fold(text: str) -> str:
+    """Lower case, one character for each."""
+    return lower_each(text).replace("ς", "σ")
+
+
 def luhn(digits: str) -> int:
     """The check digit behind these digits."""
     total = sum(int(d) if i % 2 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits)))
@@ -128,24 +141,47 @@ def _card(text: str, key: str) -> str:
 
 
 def _ip(text: str, key: str) -> str:
-    parts = [int(x) for x in text.split(".")]
-    value = permute(int.from_bytes(bytes(parts), "big"), 1 << 32, key)
-    return ".".join(map(str, value.to_bytes(4, "big")))
+    parts = text.split(".")
+    if all(p == str(int(p)) for p in parts):
+        value = permute(int.from_bytes(bytes(map(int, parts)), "big"), 1 << 32, key)
+        return ".".join(map(str, value.to_bytes(4, "big")))
+    # with leading zeros: among the addresses of the same widths that have one too
+    sizes = [(10, 100, 256)[len(p) - 1] for p in parts]
+    size, value = 1, 0
+    for p, n in zip(parts, sizes, strict=True):
+        value, size = value * n + int(p), size * n
+    made = parts
+    while made is parts or all(p == str(int(p)) for p in made):
+        value, made = permute(value, size, f"{key}:{sizes}"), []
+        rest = value
+        for p, n in zip(parts[::-1], sizes[::-1], strict=True):
+            rest, x = divmod(rest, n)
+            made.insert(0, str(x).zfill(len(p)))
+    return ".".join(made)
 
 
 def _iban(text: str, key: str) -> str:
     plain = text.replace(" ", "")
-    body = respell(plain[4:], key)
-    number = int("".join(str(int(c, 36)) for c in body + plain[:2] + "00"))
-    made = iter(f"{plain[:2]}{98 - number % 97:02d}{body}")
+    country, check, body = plain[:2], int(plain[2:4]), plain[4:]
+    if check == (good := _iban_check(country, body)):
+        body = respell(body, key)
+        check = _iban_check(country, body)
+    else:  # numbers that fail the check, so that none turns into a valid one
+        rank = permute(check - (check > good), 99, f"{key}:bad:{body}")
+        body = respell(body, key + ":bad")
+        check = rank + (rank >= _iban_check(country, body))
+    made = iter(f"{country}{check:02d}{body}")
     return "".join(c if c == " " else next(made) for c in text)
 
 
+def _iban_check(country: str, body: str) -> int:
+    return 98 - int("".join(str(int(c, 36)) for c in f"{body}{country}00")) % 97
+
+
 def _email(text: str, key: str) -> str:
     local, _, domain = text.rpartition("@")
     head, _, tail = domain.rpartition(".")
-    made = respell(f"{local}@{head}".lower(), key)
-    return f"{''.join(n.upper() if o.isupper() else n for o, n in zip(f'{local}@{head}', made, strict=True))}.{tail}"
+    return f"{respell(f'{local}@{head}', key)}.{tail}"
 
 
 def _phone(text: str, key: str) -> str:
@@ -155,9 +191,16 @@ def _phone(text: str, key: str) -> str:
 
 
 def _secret(text: str, key: str) -> str:
-    if all(c in "0123456789abcdefABCDEF" for c in text):
+    if _is_hex(text):
         return respell(text, key + ":hex", lambda c: (HEX, HEX.index(c)))
-    return respell(text, key)
+    made = respell(text, key)
+    while _is_hex(made):
+        made = respell(made, key)
+    return made
+
+
+def _is_hex(text: str) -> bool:
+    return all(c in "0123456789abcdefABCDEF" for c in text)
 
 
 def _name(text: str, key: str) -> str:
@@ -167,14 +210,13 @@ def _name(text: str, key: str) -> str:
         if names:
             made = names[permute(names.index(part.lower()), len(names), key)]
             out.append(made.upper() if part.isupper() and len(part) > 1 else made.capitalize())
-        elif len(part) > 3:
+        else:
             # listed names come from their list only: what would read as one is passed over
-            made = respell(part[:-1], key + ":name") + part[-1]
-            while made.lower() in _NAME_LIST:
-                made = respell(made[:-1], key + ":name") + part[-1]
+            end = part[-1:] if len(part) > 3 else ""
+            made = respell(part[: len(part) - len(end)], key + ":name") + end
+            while fold(made) in _NAME_LIST:
+                made = respell(made[: len(made) - len(end)], key + ":name") + end
             out.append(made)
-        else:
-            out.append(respell(part, key + ":name"))
     return "".join(out)
 
 
@@ -183,7 +225,24 @@ _MAKERS = {"secret": _secret, "email": _email, "iban": _iban, "ip": _ip, "card":
 
 @lru_cache(maxsize=100_000)
 def surrogate(kind: str, text: str, key: str = KEY) -> str:
-    return _MAKERS[kind](text, f"{key}:{kind}")
+    plain = _ascii_digits(text) if kind in ("iban", "ip", "card", "ssn", "phone") else text
+    if plain == text:
+        return _MAKERS[kind](text, f"{key}:{kind}")
+    # other scripts' digits stay in their script, place by place; addresses keep their widths
+    if kind == "ip":
+        made = ".".join(_other_digits(p, f"{key}:{kind}:{i}:{len(p)}") for i, p in enumerate(plain.split(".")))
+    else:
+        made = _MAKERS[kind](plain, f"{key}:{kind}")
+    return "".join(n if o.isascii() or not n.isdigit() else chr(ord(o) - unicodedata.decimal(o) + int(n)) for o, n in zip(text, made, strict=True))
+
+
+def _ascii_digits(text: str) -> str:
+    return "".join(str(unicodedata.decimal(c)) if c.isdecimal() else c for c in text)
+
+
+def _other_digits(part: str, key: str) -> str:
+    """One part of an address among those of its width."""
+    return str(permute(int(part), (10, 100, 256)[len(part) - 1], key)).zfill(len(part))
 
 
 def detect(text: str) -> list[tuple[str, int, int]]:
@@ -215,21 +274,12 @@ def detect(text: str) -> list[tuple[str, int, int]]:
 
 def anonymize(text: str, key: str = KEY) -> tuple[str, list[dict]]:
     """The text with surrogates, and where they stand in it."""
-    made: dict[str, str] = {}
-    used: dict[tuple[str, str], str] = {}
     out, spans, at, shift = [], [], 0, 0
     for kind, begin, end in detect(text):
-        own = text[begin:end]
-        if own not in made:
-            draw, new = 0, surrogate(kind, own, key)
-            while used.get((kind, new.lower()), own.lower()) != own.lower():
-                draw += 1
-                new = surrogate(kind, own, f"{key}:{draw}")
-            made[own] = new
-            used[kind, new.lower()] = own.lower()
-        out += [text[at:begin], made[own]]
-        spans.append({"kind": kind, "start": begin + shift, "end": begin + shift + len(made[own])})
-        shift += len(made[own]) - (end - begin)
+        made = surrogate(kind, text[begin:end], key)
+        out += [text[at:begin], made]
+        spans.append({"kind": kind, "start": begin + shift, "end": begin + shift + len(made)})
+        shift += len(made) - (end - begin)
         at = end
     return "".join([*out, text[at:]]), spans
 
@@ -264,5 +314,6 @@ def replace(docs: DataFrame, key: str = KEY, spans: str | None = None) -> DataFr
 
 def collisions(pairs: DataFrame) -> DataFrame:
     """Of (kind, entity, surrogate) rows the surrogates that stand for several entities."""
-    distinct = pairs.select("kind", F.lower("entity").alias("entity"), F.lower("surrogate").alias("surrogate")).distinct()
+    folded = lambda c: F.translate(F.lower(c), "ς", "σ").alias(c)
+    distinct = pairs.select("kind", folded("entity"), folded("surrogate")).distinct()
     return distinct.groupBy("kind", "surrogate").agg(F.count("*").alias("entities")).where("entities > 1")
