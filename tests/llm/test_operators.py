@@ -446,5 +446,28 @@ def test_near_duplicates_against_brute_force(spark, none, monkeypatch):
     assert neardup.near_duplicates(none).collect() == [] and neardup.drop_copies(none).collect() == []
 
 
+def test_shingles_can_weigh_by_their_counts(spark):
+    chorus, rest = lorem(30, 7), [lorem(60, 8 + k) for k in range(3)]
+    rows = [(1, " ".join([chorus] * 9 + [rest[0]])), (2, " ".join([chorus] * 2 + [rest[0]])), (3, " ".join([chorus] * 8 + [rest[0]])), (4, rest[1]), (5, rest[1] + " zz"), (6, rest[2]), (7, ""), (8, None), (9, "a b"), (10, "a b a b")]
+    def bag(t):
+        w = WORD.findall(t or "")
+        return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
+
+    def brute(weigh):
+        bags, root = [Counter(set(bag(t))) if not weigh else bag(t) for _, t in rows], {i: i for i, _ in rows}
+        for (i, _), a in zip(rows, bags):
+            for (j, _), b in zip(rows, bags):
+                if a == b or (a & b).total() >= 0.8 * (a | b).total():
+                    low, high = sorted((root[i], root[j]))
+                    root = {k: low if r == high else r for k, r in root.items()}
+        return root
+
+    assert brute(True) != brute(False)  # counts tell text 2 from 1 and 3
+    docs = table(spark, rows)
+    for weigh in (False, True):
+        assert dict(map(tuple, neardup.near_duplicates(docs, weighted=weigh).collect())) == brute(weigh)
+        assert Counter(r.doc_id for r in neardup.drop_copies(docs, weighted=weigh).collect()) == Counter(set(brute(weigh).values()))
+
+
 def test_tokenizer_files_are_found():
     assert public_tokenizers.path("word_bpe_49k.json") == WORD_BPE

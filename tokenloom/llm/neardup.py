@@ -1,6 +1,7 @@
 """Operator 10, near-duplicate documents by DartMinHash.
 
-A document is a weighted set of five-word shingles. Every shingle owns an unending sequence
+A document is a set of five-word shingles, each of the weight 1, or of its count in the
+document where ``weighted`` is given. Every shingle owns an unending sequence
 of darts, hashed from itself alone: their ranks are the arrivals of a Poisson process whose
 rate is the region of weight the darts fall into, and each dart falls on one coordinate of
 the signature. A document throws the darts of its shingles up to a rank at which it has
@@ -78,6 +79,17 @@ def distinct(hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return h[at], np.diff(at, append=len(h)), np.searchsorted(t[at], np.arange(len(ends)))
 
 
+def counted(hashes: np.ndarray, counts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sets whose similarity is that of the weighted ones: each element as often as it counts,
+    the first as itself, ascending within a text; and len + 1 offsets."""
+    before = np.concatenate([[0], np.cumsum(counts)])
+    turn = np.arange(before[-1]) - np.repeat(before[:-1], counts)
+    own = np.repeat(hashes, counts)
+    out = np.where(turn, splitmix(own ^ splitmix(turn.astype(np.uint64))), own)
+    text = np.repeat(np.arange(len(ends) - 1), np.diff(before[ends]))
+    return out[np.lexsort((out, text))], before[ends]
+
+
 def dart_minhash(hashes: np.ndarray, weights: np.ndarray, ends: np.ndarray, k: int = COORDINATES) -> np.ndarray:
     """Signatures (texts x k, 32 bits) of weighted sets: text d has the elements
     ends[d]:ends[d + 1]. Texts without elements have the signature 0."""
@@ -149,15 +161,15 @@ def _text_columns(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, weighted: bool = False) -> DataFrame:
     """doc_id, the content's key (k1, k2), the signature and its bands, of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 words = Words(part.column(1), latin=True)
-                found, _, ends = distinct(*shingles(words))
-                sig = dart_minhash(found, np.ones(len(found)), ends)
+                found, counts, ends = distinct(*shingles(words))
+                sig = dart_minhash(found, counts.astype(float) if weighted else np.ones(len(found)), ends)
                 bands = np.zeros((len(part), BANDS), np.uint64)
                 for b in range(BANDS):
                     h = np.full(len(part), b, np.uint64)
@@ -288,14 +300,16 @@ def candidate_groups(contents: DataFrame) -> DataFrame:
     return materialize(found.select(F.col("node").alias("cid"), F.col("root").alias("group")).union(found.select("root", "root").distinct()), "near-groups")
 
 
-def _sets(texts: DataFrame) -> DataFrame:
+def _sets(texts: DataFrame, weighted: bool = False) -> DataFrame:
     """cid and the shingle set of the rows (k1, k2, cid, text) whose text has that key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 words = Words(part.column(3), latin=True)
-                found, _, ends = distinct(*shingles(words))
+                found, counts, ends = distinct(*shingles(words))
+                if weighted:
+                    found, ends = counted(found, counts, ends)
                 k1, k2 = keys(words)
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found.view(np.int64)))
                 own = (part.column(0).to_numpy() == k1) & (part.column(1).to_numpy() == k2)
@@ -304,14 +318,14 @@ def _sets(texts: DataFrame) -> DataFrame:
     return map_batches(texts, run, "cid long, shingles array<long>").groupBy("cid").agg(F.first("shingles").alias("shingles"))
 
 
-def links(docs: DataFrame, contents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def links(docs: DataFrame, contents: DataFrame, similarity: float = SIMILARITY, weighted: bool = False) -> DataFrame:
     """Pairs of contents that connect all whose shingle sets have at least this Jaccard
     similarity: of each connected part and pair of blocks a star, every ray in that part."""
     groups = candidate_groups(contents)
     wanted = groups.join(contents.select("cid", "k1", "k2", "rep"), "cid")
     some_id = lambda c: F.coalesce(c, F.lit(-(1 << 63)))
     texts = _text_columns(docs).withColumn("id", some_id(F.col("doc_id"))).join(wanted.withColumn("id", some_id(F.col("rep"))), "id")
-    sets = _sets(texts.select("k1", "k2", "cid", F.coalesce("text", F.lit("")).alias("text"))).join(contents.select("cid", "sig"), "cid")
+    sets = _sets(texts.select("k1", "k2", "cid", F.coalesce("text", F.lit("")).alias("text")), weighted).join(contents.select("cid", "sig"), "cid")
     full = _in_blocks(groups, "group", SET_BLOCK).join(materialize(sets, "near-sets"), "cid").select("group", "x", "y", "cid", "sig", "shingles")
     dealt = full.repartition("group", "x", "y").sortWithinPartitions("group", "x", "y", "cid")
     return map_batches(dealt, _grouped(_linked(similarity)), "a long, b long")
@@ -336,26 +350,26 @@ def components(edges: DataFrame, label: str = "links") -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _classes(docs: DataFrame, weighted: bool = False) -> tuple[DataFrame, DataFrame]:
     """Fingerprint rows (doc_id, k1, k2), and class_id by (k1, k2)."""
-    prints = materialize(fingerprints(docs), "fingerprints")
+    prints = materialize(fingerprints(docs, weighted), "fingerprints")
     grouped = prints.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     contents = materialize(grouped.withColumn("cid", F.monotonically_increasing_id()), "contents")
-    joined = contents.select("cid", "k1", "k2", "rep").join(components(links(docs, contents)), F.col("cid") == F.col("node"), "left")
+    joined = contents.select("cid", "k1", "k2", "rep").join(components(links(docs, contents, weighted=weighted)), F.col("cid") == F.col("node"), "left")
     placed = joined.select("k1", "k2", "rep", F.coalesce("root", "cid").alias("root"))
     named = placed.groupBy("root").agg(F.min("rep").alias("class_id"))
     return prints.select("doc_id", "k1", "k2"), placed.join(named, "root").select("k1", "k2", "root", "class_id")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id and class_id of each row."""
-    prints, classes = _classes(docs)
+def near_duplicates(docs: DataFrame, weighted: bool = False) -> DataFrame:
+    """doc_id and class_id of each row, by the similarity of shingle sets, or of their counts."""
+    prints, classes = _classes(docs, weighted)
     return prints.join(classes, ["k1", "k2"]).select("doc_id", "class_id")
 
 
-def drop_copies(docs: DataFrame) -> DataFrame:
+def drop_copies(docs: DataFrame, weighted: bool = False) -> DataFrame:
     """``docs``, all columns, with one row of each class: that of the smallest doc_id."""
-    prints, classes = _classes(docs)
+    prints, classes = _classes(docs, weighted)
     some_id = lambda c: F.coalesce(F.col(c).cast("long"), F.lit((1 << 63) - 1))
     rows = prints.groupBy(some_id("doc_id").alias("id"), "k1", "k2").agg(F.count("*").alias("rows")).join(classes, ["k1", "k2"])
     first = rows.groupBy("root").agg(F.min(F.struct("id", "k1", "k2", "rows")).alias("first"))
