@@ -26,6 +26,12 @@ def matches(c: Column, pattern: str) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), 0)
 
 
+def _upto(pattern: str) -> str:
+    """A character from which on the pattern doesn't match. Repetitions of it have to be
+    possessive: then the JVM runs them in a loop, while others recurse once a character."""
+    return f"(?:(?!{pattern}).)"
+
+
 def whitespace_split(c: Column) -> Column:
     return matches(c, rf"[^{SPACE_CLASS}]+")
 
@@ -78,7 +84,7 @@ def metaspace(replacement: str = "▁", prepend: str = "always") -> PreTokenizer
         if prepend in ("always", "first"):
             made = F.when((F.length(made) == 0) | F.startswith(made, F.lit(replacement)), made).otherwise(F.concat(F.lit(replacement), made))
         mark = re.escape(replacement)
-        return matches(made, rf"(?s)(?:(?!{mark}).)*{mark}|(?:(?!{mark}).)+")
+        return matches(made, rf"(?s){_upto(mark)}*+{mark}|{_upto(mark)}++")
 
     return apply
 
@@ -95,13 +101,13 @@ def split(pattern: str, behavior: str = "isolated", invert: bool = False) -> Pre
     if invert or behavior == "removed":
         return lambda c: F.filter(F.split(c, p, -1), lambda x: F.length(x) > 0)
     if behavior == "merged_with_previous":
-        return lambda c: matches(c, rf"(?s)(?:(?!{p}).)*{p}|(?:(?!{p}).)+")
+        return lambda c: matches(c, rf"(?s){_upto(p)}*+{p}|{_upto(p)}++")
     if behavior == "merged_with_next":
         # what stands before the first match stays with it; without a match there is nothing
-        return lambda c: F.when(c.rlike(p), matches(c, rf"(?s)\A(?:(?!{p}).)*{p}(?:(?!{p}).)*|{p}(?:(?!{p}).)*")).otherwise(F.array().cast("array<string>"))
+        return lambda c: F.when(c.rlike(p), matches(c, rf"(?s)\A{_upto(p)}*+{p}{_upto(p)}*+|{p}{_upto(p)}*+")).otherwise(F.array().cast("array<string>"))
     if behavior == "contiguous":
-        return lambda c: matches(c, rf"(?s){p}+|(?:(?!{p}).)+")
-    return lambda c: matches(c, rf"(?s){p}|(?:(?!{p}).)+")
+        return lambda c: matches(c, rf"(?s){p}++|{_upto(p)}++")
+    return lambda c: matches(c, rf"(?s){p}|{_upto(p)}++")
 
 
 def unicode_scripts(c: Column) -> Column:
@@ -128,6 +134,8 @@ def from_config(config: dict | None) -> PreTokenizer | None:
     """A pre-tokenizer from its JSON: types ignore case, a behaviour written in camel case
     isn't recognised and isolates, missing strings count as empty, unknown types split at
     white space."""
+    if callable(config):  # a component of the user's own
+        return config
     if not config:
         return None
     kind = re.sub("pretokenizer$", "", str(config.get("type", "")).lower())
