@@ -29,6 +29,7 @@ class LoadOptions:
     fallback_to_other_variants: bool = True
     cache_dir: str | None = None
     fetch: object = None  # fetch(model_id, revision, file name) -> bytes | None
+    parse_json: object = json.loads  # parse_json(bytes) -> dict
 
 
 # --- readers -------------------------------------------------------------------------------
@@ -43,8 +44,13 @@ def read_bytes(source) -> bytes:
 
 def read_vocab_text(source) -> dict[str, int]:
     """One token a line, the line number its id; a repeated token has its last line's."""
-    lines = read_bytes(source).decode().splitlines()
-    return {line.rstrip(): i for i, line in enumerate(lines)}
+    return {line.rstrip(): i for i, line in enumerate(_lines(source))}
+
+
+def _lines(source) -> list[str]:
+    """Lines end at carriage returns and line feeds alone, not at other breaks of Unicode."""
+    lines = re.split("\r\n|\n|\r", read_bytes(source).decode())
+    return lines if lines[-1] else lines[:-1]
 
 
 def read_merges(source) -> list[tuple[str, str]]:
@@ -57,7 +63,7 @@ def read_merges(source) -> list[tuple[str, str]]:
 def read_ranks(source) -> dict[bytes, int]:
     """Lines of base64 and rank, or of base64 alone with the line number as rank."""
     out: dict[bytes, int] = {}
-    for line in read_bytes(source).decode().splitlines():
+    for line in _lines(source):
         if not line.strip() or line.startswith("Capacity: "):
             continue
         parts = line.split()
@@ -76,17 +82,12 @@ def infer_backend(root: dict) -> str:
     model = root.get("model") or {}
     named = {"wordpiece": "WordPiece", "bpe": "Bpe", "unigram": "SentencePieceUnigram", "sentencepiecebpe": "SentencePieceBpe", "sentencepiece_bpe": "SentencePieceBpe"}
     kind = str(model.get("type") or "").lower()
-    if kind in named:
-        return named[kind]
-    prefix, merges = model.get("continuing_subword_prefix"), model.get("merges")
-    if prefix is not None and (not merges or prefix == "##"):
-        return "WordPiece"
-    if merges is not None:
-        return "Bpe"
-    vocab = model.get("vocab")
-    if "scores" in model or isinstance(vocab, list) and vocab and isinstance(vocab[0], list):
-        return "SentencePieceUnigram"
-    return "Unknown"
+    if kind.strip():
+        return named.get(kind, "Unknown")
+    prefix = model.get("continuing_subword_prefix")
+    if prefix is not None:
+        return "WordPiece" if "merges" not in model or model["merges"] == [] or prefix == "##" else "Bpe"
+    return "Bpe" if "merges" in model else "SentencePieceUnigram" if "scores" in model else "Unknown"
 
 
 def parse_added_tokens(root: dict) -> tuple[AddedToken, ...]:
@@ -169,12 +170,27 @@ def _config_specials(vocab: dict[str, int], *sources: dict | None) -> list[Added
     return [AddedToken(vocab[t], t, normalized=False, special=True) for t in dict.fromkeys(named) if t in vocab]
 
 
+def post_specials(component: dict | None) -> list[AddedToken]:
+    """The special tokens that a post-processor and all its parts put in."""
+    c = component or {}
+    kind = str(c.get("type", "")).lower()
+    defaults = {"bertprocessing": (("cls", "[CLS]", 101), ("sep", "[SEP]", 102)), "robertaprocessing": (("cls", "<s>", 0), ("sep", "</s>", 2))}
+    found: list[tuple[str, int]] = []
+    for name, text, i in defaults.get(kind, ()):
+        said = c.get(name) if isinstance(c.get(name), list) else []
+        found.append((next((x for x in said if isinstance(x, str)), text), next((x for x in said if isinstance(x, int)), i)))
+    if kind == "templateprocessing" and isinstance(c.get("single"), list):
+        found += [(t, i) for one in (c.get("special_tokens") or {}).values() for t, i in zip(one.get("tokens") or [], one.get("ids") or [], strict=False)]
+    inner = [t for part in c.get("processors") or [] for t in post_specials(part)] if kind == "sequence" else []
+    return [*(AddedToken(int(i), t, normalized=False, special=True) for t, i in found), *inner]
+
+
 def _merged_tokens(*groups) -> tuple[AddedToken, ...]:
-    """Tokens of the same text become one that has the flags of all."""
-    out: dict[str, AddedToken] = {}
+    """Tokens of the same id become one that has the text of the first and the flags of all."""
+    out: dict[int, AddedToken] = {}
     for t in (t for g in groups for t in g):
-        old = out.get(t.content)
-        out[t.content] = t if old is None else AddedToken(old.id, old.content, *(getattr(old, f) or getattr(t, f) for f in ("single_word", "lstrip", "rstrip", "normalized", "special")))
+        old = out.get(t.id)
+        out[t.id] = t if old is None else AddedToken(old.id, old.content, *(getattr(old, f) or getattr(t, f) for f in ("single_word", "lstrip", "rstrip", "normalized", "special")))
     return tuple(out.values())
 
 
@@ -201,11 +217,11 @@ def _from_json(root: dict, model: bytes | None, config: dict | None, hint: str =
         return TokenizerSpec(backend, kernel, special_ids={t.content: t.id for t in _config_specials(vocab, root, config)}, **parts)
     if backend == "Bpe":
         kernel = bpe_from_json(root)
-        tokens = _merged_tokens(added, _config_specials(kernel.vocab, root, config))
+        tokens = _merged_tokens(added, _config_specials(kernel.vocab, root, config), post_specials(root.get("post_processor")))
         return TokenizerSpec(backend, kernel, added_tokens=tokens, special_ids={t.content: t.id for t in tokens if t.special}, **parts)
     if backend.startswith("SentencePiece") and model is not None:
         spec = piece_spec(model, id_offset=_moved_ids("", config), split=root.get("pre_tokenizer"))
-        return spec.with_(added_tokens=added, truncation=parse_truncation(root), padding=parse_padding(root), **parts)
+        return spec.with_(added_tokens=_merged_tokens(added, post_specials(root.get("post_processor"))), truncation=parse_truncation(root), padding=parse_padding(root), **parts)
     raise TokenizerNotSupported(f"a {backend} tokenizer can't be loaded from tokenizer.json alone", backend)
 
 
@@ -246,10 +262,10 @@ def tiktoken(source, encoding: str | None = None) -> TokenizerSpec:
 def bpe_options(config: dict | None) -> BpeOptions:
     """Options of vocab.json and merges.txt from tokenizer_config.json."""
     config = config or {}
-    kind = str(config.get("model_type") or config.get("tokenizer_class") or "").lower()
+    kind = str(config.get("model_type") or "").lower()
     by_bytes = any(k in kind for k in ("gpt", "roberta", "byte"))
-    prefix = config.get("add_prefix_space")
-    return BpeOptions(_text(config.get("unk_token")), byte_level=by_bytes, add_prefix_space=bool(prefix) if prefix is not None else "roberta" in kind)
+    prefix, split = config.get("add_prefix_space"), config.get("use_regex")
+    return BpeOptions(_text(config.get("unk_token")), config.get("continuing_subword_prefix") or "", config.get("end_of_word_suffix") or "", by_bytes, bool(prefix) if prefix is not None else "roberta" in kind, True if split is None else bool(split))
 
 
 # --- discovery -----------------------------------------------------------------------------
@@ -271,7 +287,7 @@ def from_local(directory, options: LoadOptions | None = None) -> TokenizerSpec:
     only if the options allow it."""
     o, d = options or LoadOptions(), Path(directory)
     try:
-        config = json.loads((d / "tokenizer_config.json").read_bytes())
+        config = o.parse_json((d / "tokenizer_config.json").read_bytes())
     except (OSError, ValueError):
         config = None
     refused: TokenizerNotSupported | None = None
@@ -280,7 +296,7 @@ def from_local(directory, options: LoadOptions | None = None) -> TokenizerSpec:
         if variant == "tokenizer.json":
             try:
                 model = next((p for n in PIECE_FILES if (p := d / n).exists()), next(iter(sorted(d.glob("*.model"))), None))
-                spec = _from_json(json.loads(path.read_bytes()), model.read_bytes() if model else None, config, model.name if model else "")
+                spec = _from_json(o.parse_json(path.read_bytes()), model.read_bytes() if model else None, config, model.name if model else "")
                 if _moved_ids(d.name, config) and spec.backend.startswith("SentencePiece"):
                     spec.model.id_offset = True
                 return spec

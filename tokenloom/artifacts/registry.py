@@ -11,30 +11,94 @@ PATTERNS = {
     "o200k": r"[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]*[\p{Ll}\p{Lm}\p{Lo}\p{M}]+(?i:'s|'t|'re|'ve|'m|'ll|'d)?|[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]+[\p{Ll}\p{Lm}\p{Lo}\p{M}]*(?i:'s|'t|'re|'ve|'m|'ll|'d)?|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n/]*|\s*[\r\n]+|\s+(?!\S)|\s+",
 }
 
-_FIM = ["<|fim_prefix|>", "<|fim_middle|>", "<|fim_suffix|>"]
-_NAMED = {199998: "<|startoftext|>", 199999: "<|endoftext|>", 200002: "<|return|>", 200003: "<|constrain|>", 200005: "<|channel|>", 200006: "<|start|>", 200007: "<|end|>", 200008: "<|message|>", 200012: "<|call|>", 200018: "<|endofprompt|>"}
-
 #: Encodings: pattern and special tokens (fixed values).
 ENCODINGS = {
     "gpt2": ("p50k", {"<|endoftext|>": 50256}),
     "r50k_base": ("p50k", {"<|endoftext|>": 50256}),
     "p50k_base": ("p50k", {"<|endoftext|>": 50256}),
-    "p50k_edit": ("p50k", {"<|endoftext|>": 50256} | {t: 50281 + i for i, t in enumerate(_FIM)}),
-    "cl100k_base": ("cl100k", {"<|endoftext|>": 100257} | {t: 100258 + i for i, t in enumerate(_FIM)} | {"<|endofprompt|>": 100276}),
+    "p50k_edit": ("p50k", {"<|endoftext|>": 50256, "<|fim_prefix|>": 50281, "<|fim_middle|>": 50282, "<|fim_suffix|>": 50283}),
+    "cl100k_base": ("cl100k", {"<|endoftext|>": 100257, "<|fim_prefix|>": 100258, "<|fim_middle|>": 100259, "<|fim_suffix|>": 100260, "<|endofprompt|>": 100276}),
     "o200k_base": ("o200k", {"<|endoftext|>": 199999, "<|endofprompt|>": 200018}),
-    "o200k_harmony": ("o200k", {_NAMED.get(i, f"<|reserved_{i}|>"): i for i in range(199998, 200019)}),
+    "o200k_harmony": (
+        "o200k",
+        {
+            "<|startoftext|>": 199998,
+            "<|endoftext|>": 199999,
+            "<|reserved_200000|>": 200000,
+            "<|reserved_200001|>": 200001,
+            "<|return|>": 200002,
+            "<|constrain|>": 200003,
+            "<|reserved_200004|>": 200004,
+            "<|channel|>": 200005,
+            "<|start|>": 200006,
+            "<|end|>": 200007,
+            "<|message|>": 200008,
+            "<|reserved_200009|>": 200009,
+            "<|reserved_200010|>": 200010,
+            "<|reserved_200011|>": 200011,
+            "<|call|>": 200012,
+            "<|reserved_200013|>": 200013,
+            "<|reserved_200014|>": 200014,
+            "<|reserved_200015|>": 200015,
+            "<|reserved_200016|>": 200016,
+            "<|reserved_200017|>": 200017,
+            "<|endofprompt|>": 200018,
+        },
+    ),
 }
 
-#: Models by encoding (fixed values).
-_BY_ENCODING = {
-    "o200k_base": "o1 o3 o4-mini gpt-5 gpt-4.1 gpt-4o",
-    "cl100k_base": "gpt-4 gpt-3.5-turbo gpt-3.5 gpt-3.5-turbo-16k gpt-35 gpt-35-turbo gpt-35-turbo-16k davinci-002 babbage-002 text-embedding-ada-002 text-embedding-3-small text-embedding-3-large phi-4",
-    "p50k_base": "text-davinci-003 text-davinci-002 code-davinci-002 code-davinci-001 code-cushman-002 code-cushman-001 davinci-codex cushman-codex",
-    "p50k_edit": "text-davinci-edit-001 code-davinci-edit-001",
-    "r50k_base": "text-davinci-001 text-curie-001 text-babbage-001 text-ada-001 davinci curie babbage ada text-similarity-davinci-001 text-similarity-curie-001 text-similarity-babbage-001 text-similarity-ada-001 text-search-davinci-doc-001 text-search-curie-doc-001 text-search-babbage-doc-001 text-search-ada-doc-001 code-search-babbage-code-001 code-search-ada-code-001",
-    "gpt2": "gpt2 gpt-2",
+#: Models and their encodings (fixed values).
+MODELS = {
+    "o1": "o200k_base",
+    "o3": "o200k_base",
+    "o4-mini": "o200k_base",
+    "gpt-5": "o200k_base",
+    "gpt-4.1": "o200k_base",
+    "gpt-4o": "o200k_base",
+    "gpt-4": "cl100k_base",
+    "gpt-3.5-turbo": "cl100k_base",
+    "gpt-3.5": "cl100k_base",
+    "gpt-3.5-turbo-16k": "cl100k_base",
+    "gpt-35": "cl100k_base",
+    "gpt-35-turbo": "cl100k_base",
+    "gpt-35-turbo-16k": "cl100k_base",
+    "davinci-002": "cl100k_base",
+    "babbage-002": "cl100k_base",
+    "text-embedding-ada-002": "cl100k_base",
+    "text-embedding-3-small": "cl100k_base",
+    "text-embedding-3-large": "cl100k_base",
+    "text-davinci-003": "p50k_base",
+    "text-davinci-002": "p50k_base",
+    "text-davinci-001": "r50k_base",
+    "text-curie-001": "r50k_base",
+    "text-babbage-001": "r50k_base",
+    "text-ada-001": "r50k_base",
+    "davinci": "r50k_base",
+    "curie": "r50k_base",
+    "babbage": "r50k_base",
+    "ada": "r50k_base",
+    "code-davinci-002": "p50k_base",
+    "code-davinci-001": "p50k_base",
+    "code-cushman-002": "p50k_base",
+    "code-cushman-001": "p50k_base",
+    "davinci-codex": "p50k_base",
+    "cushman-codex": "p50k_base",
+    "text-davinci-edit-001": "p50k_edit",
+    "code-davinci-edit-001": "p50k_edit",
+    "text-similarity-davinci-001": "r50k_base",
+    "text-similarity-curie-001": "r50k_base",
+    "text-similarity-babbage-001": "r50k_base",
+    "text-similarity-ada-001": "r50k_base",
+    "text-search-davinci-doc-001": "r50k_base",
+    "text-search-curie-doc-001": "r50k_base",
+    "text-search-babbage-doc-001": "r50k_base",
+    "text-search-ada-doc-001": "r50k_base",
+    "code-search-babbage-code-001": "r50k_base",
+    "code-search-ada-code-001": "r50k_base",
+    "gpt2": "gpt2",
+    "gpt-2": "gpt2",
+    "phi-4": "cl100k_base",
 }
-MODELS = {name: encoding for encoding, names in _BY_ENCODING.items() for name in names.split()}
 #: Beginnings of model names, in the order in which they are tried (fixed values).
 PREFIXES = [
     ("o1-", "o200k_base"),

@@ -124,6 +124,8 @@ def sequence(parts: Sequence[Decoder]) -> Decoder:
 
 def from_config(config: dict | None) -> Decoder:
     """A decoder from its JSON; missing strings count as empty there."""
+    if callable(config):  # a component of the user's own
+        return config
     if not config:
         return default
     kind = str(config.get("type", "")).lower().removesuffix("decoder")

@@ -306,6 +306,8 @@ def token_to_sequence(enc: Enc, index: Column | int) -> Column:
 
 def from_config(config: dict | None) -> PostProcessor:
     """A post-processor from its JSON."""
+    if isinstance(config, PostProcessor):  # a component of the user's own
+        return config
     if not config:
         return plain()
     kind = str(config.get("type", "")).lower()

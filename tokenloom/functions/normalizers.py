@@ -150,6 +150,8 @@ def sequence(parts: Sequence[Normalizer]) -> Normalizer:
 def from_config(config: dict | None) -> Normalizer | None:
     """A normalizer from its JSON: types ignore case; pattern, content, prefix and sides are
     not read from JSON, so Replace and Prepend are the identity there and Strip is two-sided."""
+    if callable(config):  # a component of the user's own
+        return config
     if not config:
         return None
     kind = re.sub("normalizer$", "", str(config.get("type", "")).lower())

@@ -59,7 +59,13 @@ MODELS = [
     ({"continuing_subword_prefix": "##"}, "WordPiece"),
     ({"continuing_subword_prefix": "", "merges": ["a b"]}, "Bpe"),
     ({"merges": []}, "Bpe"),
-    ({"vocab": [["a", -1.0]]}, "SentencePieceUnigram"),
+    ({"merges": None}, "Bpe"),
+    ({"scores": [-1.0]}, "SentencePieceUnigram"),
+    ({"vocab": [["a", -1.0]]}, "Unknown"),
+    ({"type": "WordLevel", "merges": []}, "Unknown"),
+    ({"type": "sentencepiece_bpe"}, "SentencePieceBpe"),
+    ({"continuing_subword_prefix": "@@", "merges": []}, "WordPiece"),
+    ({"continuing_subword_prefix": "@@", "merges": None}, "Bpe"),
     ({"vocab": {}}, "Unknown"),
 ]
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from enum import Enum
 
@@ -105,14 +106,16 @@ class BpeOptions:
 
 @dataclass(frozen=True)
 class TokenizerSpec:
-    """A tokenizer as loaded: what the engine compiles to expressions and one kernel."""
+    """A tokenizer as loaded: what the engine compiles to expressions and one kernel. In place
+    of a component's JSON there may be a function of the user's own on columns (for the
+    post-processor a PostProcessor)."""
 
     backend: str
     model: object
-    normalizer: dict | None = None
-    pre_tokenizer: dict | None = None
-    post_processor: dict | None = None
-    decoder: dict | None = None
+    normalizer: dict | Callable | None = None
+    pre_tokenizer: dict | Callable | None = None
+    post_processor: dict | object | None = None
+    decoder: dict | Callable | None = None
     added_tokens: tuple[AddedToken, ...] = ()
     truncation: Truncation | None = None
     padding: Padding | None = None
