@@ -8,7 +8,7 @@ import regex
 
 from tokenloom.kernels.alphabet import CHAR_TO_BYTE, to_alphabet
 from tokenloom.kernels.merging import merge
-from tokenloom.kernels.pieces import SPACE, SPACES, Piece, text_elements
+from tokenloom.kernels.pieces import SPACE, SPACES, Piece, placed, text_elements
 from tokenloom.spec import AddedToken, BpeOptions
 
 _GPT2 = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
@@ -75,14 +75,14 @@ class Bpe:
                 self.known[segment] = found
         return found
 
-    def encode(self, text: str, limit: int | None = None, base: int = 0, first_word: int = 0) -> list[Piece]:
-        out: list[Piece] = []
-        for n, (segment, offset, _) in enumerate(self.segments(text)):
-            low = lambda x, o=offset: max(0, x + o) + base
-            out += [Piece(i, t, low(a), low(b), first_word + n) for i, t, a, b in self.segment(segment)]
-            if limit is not None and len(out) >= limit:
-                return out[:limit]
-        return out
+    def cut(self, text: str, base: int = 0, first_word: int = 0) -> list[tuple[str, int, int, int | None]]:
+        """(segment, offset, base, word): pieces move by the offset, 0 at least, then by the base."""
+        return [(segment, offset, base, first_word + n) for n, (segment, offset, _) in enumerate(self.segments(text))]
+
+    part = segment
+
+    def encode(self, text: str, limit: int | None = None) -> list[Piece]:
+        return placed(self, text, limit)
 
     def decode(self, ids: list[int]) -> str:
         unk = self.options.unk_token or ""
@@ -138,17 +138,32 @@ class AddedTokens:
         return out
 
 
+class BpeWithAdded:
+    """A BPE model and its added tokens. Word numbers run on across the parts between added
+    tokens, which have none."""
+
+    def __init__(self, model: Bpe, added: AddedTokens):
+        self.model, self.added = model, added
+
+    def cut(self, text: str) -> list[tuple[str | AddedToken, int, int, int | None]]:
+        out: list[tuple] = []
+        at = words = 0
+        for token, a, b in [*self.added.find(text), (None, len(text), len(text))]:
+            if a > at:
+                own = self.model.cut(text[at:a], at, words)
+                words += len(own)
+                out += own
+            if token is not None:
+                out.append(((token, b - a), 0, a, None))
+            at = b
+        return out
+
+    def part(self, key: str | tuple[AddedToken, int]) -> list[tuple[int, str, int, int]]:
+        return self.model.part(key) if isinstance(key, str) else [(key[0].id, key[0].content, 0, key[1])]
+
+    def encode(self, text: str, limit: int | None = None) -> list[Piece]:
+        return placed(self, text, limit)
+
+
 def encode_with_added(model: Bpe, added: AddedTokens, text: str, limit: int | None = None) -> list[Piece]:
-    """Word numbers run on across the parts between added tokens, which have none."""
-    out: list[Piece] = []
-    at = 0
-    for token, a, b in [*added.find(text), (None, len(text), len(text))]:
-        if a > at:
-            words = [p.word for p in out if p.word is not None]
-            out += model.encode(text[at:a], None, at, max(words) + 1 if words else 0)
-        if token is not None:
-            out.append(Piece(token.id, token.content, a, b, None))
-        at = b
-        if limit is not None and len(out) >= limit:
-            return out[:limit]
-    return out
+    return BpeWithAdded(model, added).encode(text, limit)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import regex
 
 from tokenloom.kernels.merging import merge
-from tokenloom.kernels.pieces import Piece, text_elements
+from tokenloom.kernels.pieces import Piece, placed, text_elements
 
 
 class ByteRank:
@@ -34,7 +34,7 @@ class ByteRank:
             at = b
         return out
 
-    def part(self, text: str) -> list[tuple[int, int, int]]:
+    def spans(self, text: str) -> list[tuple[int, int, int]]:
         """(id, start, end) of one part; offsets are those of the text elements."""
         found = self.known.get(text)
         if found is None:
@@ -55,16 +55,17 @@ class ByteRank:
                 self.known[text] = found
         return found
 
+    def cut(self, text: str) -> list[tuple[tuple[str, bool], int, int, int]]:
+        return [((part, special), offset, 0, n) for n, (part, offset, special) in enumerate(self.segments(text))]
+
+    def part(self, key: tuple[str, bool]) -> list[tuple[int, str, int, int]]:
+        text, special = key
+        if special:
+            return [(self.specials[text], text, 0, len(text))]
+        return [(i, self.bytes_of[i].decode(errors="replace"), a, b) for i, a, b in self.spans(text)]
+
     def encode(self, text: str, limit: int | None = None) -> list[Piece]:
-        out: list[Piece] = []
-        for n, (part, offset, special) in enumerate(self.segments(text)):
-            if special:
-                out.append(Piece(self.specials[part], part, offset, offset + len(part), n))
-            else:
-                out += [Piece(i, self.bytes_of[i].decode(errors="replace"), offset + a, offset + b, n) for i, a, b in self.part(part)]
-            if limit is not None and len(out) >= limit:
-                return out[:limit]
-        return out
+        return placed(self, text, limit)
 
     def decode(self, ids: list[int], skip_special: bool = False) -> str:
         out, run = [], b""

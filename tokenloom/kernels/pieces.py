@@ -20,6 +20,16 @@ class Piece(NamedTuple):
     word: int | None = None
 
 
+def placed(model, text: str, limit: int | None = None) -> list[Piece]:
+    """The pieces of a text by a model that cuts texts (``cut``) and encodes parts (``part``)."""
+    out: list[Piece] = []
+    for key, offset, base, word in model.cut(text):
+        out += [Piece(i, t, max(0, a + offset) + base, max(0, b + offset) + base, word) for i, t, a, b in model.part(key)]
+        if limit is not None and len(out) >= limit:
+            return out[:limit]
+    return out
+
+
 def text_elements(text: str) -> list[str]:
     """The extended grapheme clusters of a text."""
     return list(text) if text.isascii() and "\r\n" not in text else _ELEMENT.findall(text)

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import threading
 import weakref
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,26 +16,29 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions import encodings as X
 from tokenloom.functions import normalizers, pretokenizers
-from tokenloom.kernels.bpe import AddedTokens, Bpe, encode_with_added
+from tokenloom.kernels import batches
+from tokenloom.kernels.bpe import AddedTokens, Bpe, BpeWithAdded
+from tokenloom.kernels.pieces import lower_each
 from tokenloom.kernels.wordpiece import WordPiece
 from tokenloom.session import ship
 from tokenloom.spec import PIECES, EncodeOptions, PaddingMode, TokenizerSpec, TruncationMode
 
 _BROADCAST: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 _LOCK = threading.Lock()
-#: Characters of texts whose pieces are Python objects at a time.
-PART = 1 << 18
+#: Bytes of texts that are cut and gathered at a time.
+PART = 1 << 20
 
 
 def broadcast_model(spark: SparkSession, model: object):
-    """The model's broadcast, made once for each session; vocabularies are files that fit
-    the driver, whatever the size of the tables."""
+    """The model's broadcast, made once an application and kept as long as the model is;
+    vocabularies are files that fit the driver, whatever the size of the tables."""
     ship(spark)
     with _LOCK:
-        known = _BROADCAST.setdefault(spark, {})
-        if id(model) not in known:
-            known[id(model)] = (model, spark.sparkContext.broadcast(model))
-        return known[id(model)][1]
+        known = _BROADCAST.setdefault(model, {})
+        app = spark.sparkContext.applicationId
+        if app not in known:
+            known[app] = spark.sparkContext.broadcast(model)
+        return known[app]
 
 
 def _word_kernel(shared, limit: int | None):
@@ -42,33 +46,28 @@ def _word_kernel(shared, limit: int | None):
 
     @F.arrow_udf(PIECES)
     def run(texts: pa.Array, segments: pa.Array) -> pa.Array:
-        model, rows = shared.value, []
-        for text, parts in zip(texts.to_pylist(), segments.to_pylist(), strict=True):
-            if text is None or parts is None:
-                rows.append(None)
-                continue
-            at, placed = 0, []
-            for p in parts:
-                at = text.find(p, at)
-                placed.append((p, at))
-                at += len(p)
-            rows.append(model.encode(placed, limit))
-        return _arrow(rows)
+        return batches.joined([batches.encode_words(shared.value, texts[i:j], segments[i:j], limit) for i, j in batches.slices(texts, PART)])
+
+    return run
+
+
+def _part_kernel(shared, limit: int | None):
+    """Pieces by a model that cuts texts into parts and remembers these."""
+
+    @F.arrow_udf(PIECES)
+    def run(texts: pa.Array) -> pa.Array:
+        return batches.joined([batches.encode_texts(shared.value, texts[i:j], limit) for i, j in batches.slices(texts, PART)])
 
     return run
 
 
 def _text_kernel(shared, limit: int | None):
+    """Pieces by a model that encodes texts whole."""
+
     @F.arrow_udf(PIECES)
     def run(texts: pa.Array) -> pa.Array:
-        model, done, rows, held = shared.value, [], [], 0
-        for text in texts.to_pylist():
-            rows.append(None if text is None else model.encode(text, limit))
-            held += len(text or "")
-            if held >= PART:
-                done.append(_arrow(rows))
-                rows, held = [], 0
-        return pa.concat_arrays([*done, _arrow(rows)])
+        encode = shared.value.encode
+        return batches.joined([_arrow([None if t is None else encode(t, limit) for t in texts[i:j].to_pylist()]) for i, j in batches.slices(texts, PART)])
 
     return run
 
@@ -84,23 +83,6 @@ def _arrow(rows: list) -> pa.StructArray:
     return pa.StructArray.from_arrays(lists, names=PIECES.names)
 
 
-class BpeWithAdded:
-    """A BPE model and its added tokens, as one kernel."""
-
-    def __init__(self, model: Bpe, tokens, normalizer: str | None = None):
-        self.model, self.tokens, self.lower = model, tokens, normalizer == "lowercase"
-        self.added = AddedTokens(tokens, _lower if self.lower else None)
-
-    def encode(self, text: str, limit: int | None = None):
-        return encode_with_added(self.model, self.added, text, limit)
-
-
-def _lower(text: str) -> str:
-    from tokenloom.kernels.pieces import lower_each
-
-    return lower_each(text)
-
-
 def pieces(spark: SparkSession, spec: TokenizerSpec, text: Column, limit: int | None = None) -> Column:
     """The kernel's pieces of a text column: null text, null fields."""
     if isinstance(spec.model, WordPiece):
@@ -111,19 +93,15 @@ def pieces(spark: SparkSession, spec: TokenizerSpec, text: Column, limit: int |
         return _word_kernel(broadcast_model(spark, spec.model), limit)(clean, split(clean))
     model = spec.model
     if isinstance(model, Bpe) and spec.added_tokens:
-        kind = str((spec.normalizer or {}).get("type", "")).lower()
-        model = _with_added(model, spec.added_tokens, "lowercase" if kind == "lowercase" else None)
-    return _text_kernel(broadcast_model(spark, model), limit)(text)
-
-
-_ADDED: dict[tuple, BpeWithAdded] = {}
+        kind = str(spec.normalizer.get("type", "")).lower() if isinstance(spec.normalizer, dict) else ""
+        model = _with_added(model, spec.added_tokens, kind == "lowercase")
+    kernel = _part_kernel if hasattr(model, "cut") else _text_kernel
+    return kernel(broadcast_model(spark, model), limit)(text)
 
 
-def _with_added(model: Bpe, tokens: tuple, normalizer: str | None) -> BpeWithAdded:
-    key = (id(model), tokens, normalizer)
-    if key not in _ADDED:
-        _ADDED[key] = BpeWithAdded(model, tokens, normalizer)
-    return _ADDED[key]
+@lru_cache(maxsize=16)
+def _with_added(model: Bpe, tokens: tuple, lower: bool) -> BpeWithAdded:
+    return BpeWithAdded(model, AddedTokens(tokens, lower_each if lower else None))
 
 
 def post_processor(spec: TokenizerSpec) -> X.PostProcessor:
