@@ -166,3 +166,31 @@ def test_pieces_stand_in_the_original_text(spark, sf):
         if t and t == " ".join(t.split()) and not set(models._MAPPED) & set(t):  # nothing is moved by normalizing
             # by the rule of offsets the mark put before stands nowhere, and a piece of place 0 alone has the place behind it
             assert all(0 <= r.start < r.end <= len(t) and (r.token == "<unk>" or t[r.start : r.end] == r.token.replace("▁", "")) for r in own[2:] if r.token != "▁")
+
+
+def test_unicode_forms_equal_pythons(spark):
+    import unicodedata
+
+    texts = ["Café ﬁ Å é ① ２ ½ 한글 ﷺ", "", None, "plain", "ẹ́"]
+    from tokenloom.functions import normalizers
+
+    for form in ("NFC", "NFD", "NFKC", "NFKD"):
+        rows = spark.createDataFrame([(t,) for t in texts], "t string").select(normalizers.unicode_form(form)("t").alias("x")).collect()
+        assert [r.x for r in rows] == [None if t is None else unicodedata.normalize(form, t) for t in texts]
+
+
+def test_segments_with_places(spark):
+    from pyspark.sql import functions as F
+
+    from tokenloom.functions import pretokenizers as P
+    from tokenloom.operators.segments import segments_relation
+
+    texts = ["Hé, 漢字  a😀b!", "", None, "one", "  x  "]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    for split in (P.bert, P.fixed_length(3), P.digits(), P.split("[a,]", "removed"), P.whitespace_gaps):
+        for unit in ("characters", "bytes"):
+            for r in segments_relation(df, split, unit=unit).collect():
+                t = texts[r.k] if unit == "characters" else texts[r.k].encode()
+                assert t[r.start : r.end] == (r.segment if unit == "characters" else r.segment.encode())
+    kept = segments_relation(df, P.bert).groupBy("k").agg(F.array_join(F.sort_array(F.collect_list(F.struct("pos", "segment")))["segment"], "|").alias("s"))
+    assert {r.k: r.s for r in kept.collect()} == {0: "Hé|,|漢字|a😀b|!", 3: "one", 4: "x"}

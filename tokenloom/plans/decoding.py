@@ -8,13 +8,14 @@ from tokenloom.functions import decoders as D
 from tokenloom.functions import normalizers as N
 from tokenloom.functions import pretokenizers as P
 from tokenloom.plans.text import _RE2_PUNCT, _WS, _extract
+from tokenloom.sources.tables import dealt
 
 _TAIL = "(t|re|ve|ll|d|s|m)"
 
 
 def _over(table: str, key: str, column: str, fn):
     def run(spark, sf_dir):
-        return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(key, fn(F.col(column)).alias("value"))
+        return dealt(spark, sf_dir, table, key, column).select(key, fn(F.col(column)).alias("value"))
 
     return run
 

@@ -19,8 +19,10 @@ from tokenloom.kernels.tokens import WordTokens as _Tokens
 from tokenloom.kernels.wordpiece import WordPiece
 from tokenloom.operators import decode as D
 from tokenloom.operators import encode as E
+from tokenloom.plans.decoding import _cleaned as cleaned
 from tokenloom.plans.text import _RE2_PUNCT, _WS, MARK, _extract, gpt2_segments_sql
 from tokenloom.session import ship
+from tokenloom.sources.tables import dealt, table
 from tokenloom.spec import AddedToken, BpeOptions, EncodeOptions, TokenizerSpec, TruncationMode
 
 TOP, PIECES, CHAINS = 300, 300, 200
@@ -28,12 +30,17 @@ SPECIALS = {"[PAD]": 0, "[UNK]": 1, "[CLS]": 2, "[SEP]": 3}
 
 
 def _docs(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
+
+
+def _texts(spark, sf_dir, *columns):
+    """Documents for work on each text."""
+    return dealt(spark, sf_dir, "documents", *(columns or ("doc_id", "text")))
 
 
 def words(spark, sf_dir):
     """Every word of a-z with its count."""
-    return _docs(spark, sf_dir).select(F.explode(P.matches(F.lower("text"), "[a-z]+")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    return _texts(spark, sf_dir, "text").select(F.explode(P.matches(F.lower("text"), "[a-z]+")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
 
 
 def _top(spark, sf_dir, low: int, high: int, n: int) -> list[str]:
@@ -42,9 +49,12 @@ def _top(spark, sf_dir, low: int, high: int, n: int) -> list[str]:
 
 
 def wordpiece_spec(spark, sf_dir) -> TokenizerSpec:
-    # characters are 26 at most
-    chars = [r[0] for r in words(spark, sf_dir).select(F.explode(F.split("w", "")).alias("c")).where("c <> ''").distinct().collect()]
-    top = _top(spark, sf_dir, 1, 1 << 30, TOP)
+    # one pass: the top and the characters, 26 at most, come out of the same counts
+    counted = words(spark, sf_dir)
+    top_rows = counted.orderBy(F.desc("n"), "w").limit(TOP).select("w", F.lit(True).alias("top"))
+    char_rows = counted.select(F.explode(F.split("w", "")).alias("w"), F.lit(False).alias("top")).where("w <> ''").distinct()
+    found = top_rows.unionByName(char_rows).collect()
+    top, chars = [r.w for r in found if r.top], [r.w for r in found if not r.top]
     rows = {(1, w) for w in top if len(w) > 1} | {(2, c) for c in chars} | {(3, f"##{c}") for c in chars} | {(4, f"##{w}") for w in top if 2 <= len(w) <= 4}
     vocab = SPECIALS | {t: i + 4 for i, (_, t) in enumerate(sorted(rows))}
     return TokenizerSpec("WordPiece", WordPiece(vocab), special_ids=SPECIALS)
@@ -115,39 +125,39 @@ def _ids(column: str = "encoding.ids"):
 
 
 def wordpiece_encode(spark, sf_dir):
-    out = E.encode(_docs(spark, sf_dir).select("doc_id", "text"), wordpiece_spec(spark, sf_dir))
+    out = E.encode(_texts(spark, sf_dir), wordpiece_spec(spark, sf_dir))
     return out.select("doc_id", F.size("encoding.ids").cast("long").alias("n"), F.md5(_ids()).alias("ids_md5"))
 
 
 def encode_max_tokens(spark, sf_dir):
-    out = E.encode(_docs(spark, sf_dir).select("doc_id", "text"), wordpiece_spec(spark, sf_dir), options=EncodeOptions(add_special_tokens=False), limit=8)
+    out = E.encode(_texts(spark, sf_dir), wordpiece_spec(spark, sf_dir), options=EncodeOptions(add_special_tokens=False), limit=8)
     return out.select("doc_id", _ids().alias("ids"))
 
 
 def encode_to_ids(spark, sf_dir):
-    out = E.encode_to_ids(_docs(spark, sf_dir).select("doc_id", "text"), wordpiece_spec(spark, sf_dir), options=EncodeOptions(max_length=8, truncation=TruncationMode.LONGEST_FIRST))
+    out = E.encode_to_ids(_texts(spark, sf_dir), wordpiece_spec(spark, sf_dir), options=EncodeOptions(max_length=8, truncation=TruncationMode.LONGEST_FIRST))
     return out.select("doc_id", _ids("ids").alias("ids"))
 
 
 def encode_to_ids_whole(spark, sf_dir):
     """All ids of every document."""
-    out = E.encode_to_ids(_docs(spark, sf_dir).select("doc_id", "text"), wordpiece_spec(spark, sf_dir))
+    out = E.encode_to_ids(_texts(spark, sf_dir), wordpiece_spec(spark, sf_dir))
     return out.select("doc_id", _ids("ids").alias("ids"))
 
 
 def count_tokens(spark, sf_dir):
-    out = E.count_tokens(_docs(spark, sf_dir).select("doc_id", "text"), wordpiece_spec(spark, sf_dir))
+    out = E.count_tokens(_texts(spark, sf_dir), wordpiece_spec(spark, sf_dir))
     return out.select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"))
 
 
 def count_tokens_by_group(spark, sf_dir):
-    out = E.count_tokens(_docs(spark, sf_dir).select("lang", "text"), wordpiece_spec(spark, sf_dir))
+    out = E.count_tokens(_texts(spark, sf_dir, "lang", "text"), wordpiece_spec(spark, sf_dir))
     return out.groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.col("n_tokens").cast("long")).alias("tokens"))
 
 
 def encode_pair(spark, sf_dir):
     """Every user turn with the answer to it, where one follows."""
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    turns = table(spark, sf_dir, "conversations")
     asked = turns.where("role = 'user'").select("conv_id", "turn", "text")
     said = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
     out = E.encode(asked.join(said, ["conv_id", "turn"]), wordpiece_spec(spark, sf_dir), pair="answer")
@@ -155,19 +165,19 @@ def encode_pair(spark, sf_dir):
 
 
 def tokens_relation(spark, sf_dir):
-    out = E.encode(_docs(spark, sf_dir).select("doc_id", "text"), wordpiece_spec(spark, sf_dir))
+    out = E.encode(_texts(spark, sf_dir), wordpiece_spec(spark, sf_dir))
     return E.tokens_relation(out, keys=["doc_id"])
 
 
 def decode_ids_wordpiece(spark, sf_dir):
     spec = wordpiece_spec(spark, sf_dir)
-    out = E.encode_to_ids(_docs(spark, sf_dir).select("doc_id", "text"), spec)
+    out = E.encode_to_ids(_texts(spark, sf_dir), spec)
     return D.decode(out, spec, skip_special_tokens=True).select("doc_id", F.col("decoded").alias("value"))
 
 
 def _common(spark, sf_dir) -> list[str]:
     """The commonest words of any letters, by (count, word)."""
-    found = _docs(spark, sf_dir).select(F.explode(P.matches(F.col("text"), r"\p{L}+")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    found = _texts(spark, sf_dir, "text").select(F.explode(P.matches(F.col("text"), r"\p{L}+")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     return [r["w"] for r in found.where("length(w) between 2 and 12").orderBy(F.desc("n"), "w").limit(TOP).collect()]
 
 
@@ -219,7 +229,7 @@ def _whole_texts(spec):
     """Whole documents by this tokenizer: how many tokens, and digests of all ids, tokens and offsets."""
 
     def run(spark, sf_dir):
-        out = E.encode(_docs(spark, sf_dir).select("doc_id", "text"), spec(spark, sf_dir))
+        out = E.encode(_texts(spark, sf_dir), spec(spark, sf_dir))
         spots = F.array_join(F.transform("encoding.offsets", lambda o: F.concat_ws(":", o["start"].cast("string"), o["end"].cast("string"))), " ")
         return out.select("doc_id", F.size("encoding.ids").cast("long").alias("n"), F.md5(_ids()).alias("ids_md5"), F.md5(F.array_join("encoding.tokens", MARK)).alias("tokens_md5"), F.md5(spots).alias("offsets_md5"))
 
@@ -231,7 +241,7 @@ def _decoded(spec):
 
     def run(spark, sf_dir):
         made = spec(spark, sf_dir)
-        out = E.encode_to_ids(_docs(spark, sf_dir).select("doc_id", "text"), made)
+        out = E.encode_to_ids(_texts(spark, sf_dir), made)
         return D.decode(out, made, skip_special_tokens=True).select("doc_id", F.col("decoded").alias("value"))
 
     return run
@@ -239,7 +249,7 @@ def _decoded(spec):
 
 def sp_offsets(spark, sf_dir):
     """Where the pieces of whole documents stand in the original text: one row a token."""
-    out = E.encode(_docs(spark, sf_dir).select("doc_id", "text"), unigram_spec(spark, sf_dir))
+    out = E.encode(_texts(spark, sf_dir), unigram_spec(spark, sf_dir))
     return E.tokens_relation(out, keys=["doc_id"]).select("doc_id", "pos", "token", "start", "end")
 
 
@@ -268,7 +278,7 @@ def bpe_segments(spark, sf_dir):
         model = Bpe({}, [], BpeOptions(byte_level=True))
         return s.map(lambda t: [x for x, _, _ in model.segments(t)], na_action="ignore")
 
-    rows = _docs(spark, sf_dir).select("doc_id", cut("text").alias("s"))
+    rows = _texts(spark, sf_dir).select("doc_id", cut("text").alias("s"))
     return rows.select("doc_id", F.size("s").cast("long").alias("n"), F.array_join("s", MARK).alias("segments"))
 
 
@@ -291,25 +301,25 @@ def added_token_split(spark, sf_dir):
 
         return s.map(parts, na_action="ignore")
 
-    rows = _docs(spark, sf_dir).select("doc_id", cut("text").alias("s"))
+    rows = _texts(spark, sf_dir).select("doc_id", cut("text").alias("s"))
     return rows.select("doc_id", F.size("s").cast("long").alias("n"), F.array_join("s", MARK).alias("segments"))
 
 
 def sp_normalize_unigram(spark, sf_dir):
     space = N.replace(rf"[{N.SPACE_CLASS}]+", " ", regex=True)
     made = N.sequence([space, lambda c: F.trim(c), N.prepend(" "), N.replace(" ", "▁")])
-    return _docs(spark, sf_dir).select("doc_id", made(F.col("text")).alias("value"))
+    return _texts(spark, sf_dir).select("doc_id", made(F.col("text")).alias("value"))
 
 
 def tiktoken_registry(spark, sf_dir):
     return spark.createDataFrame([*MODELS.items(), *PREFIXES], "name string, encoding string")
 
 
-_FREQ = "freq as (select w, count(*) n from (select unnest(regexp_extract_all(lower(text), '[a-z]+')) w from documents) group by w)"
+_FREQ = "freq as materialized (select w, count(*) n from (select unnest(regexp_extract_all(lower(text), '[a-z]+')) w from documents) group by w)"
 _TOP = lambda low, high, n: f"(select w, n from freq where length(w) between {low} and {high} order by n desc, w limit {n})"
 _VOCAB = f"""{_FREQ}, top as {_TOP(1, 1 << 30, TOP)},
 ch as (select distinct c from (select unnest(string_split(w, '')) c from freq) where c <> ''),
-vocab as (select '[PAD]' tok, 0 id union all select '[UNK]', 1 union all select '[CLS]', 2 union all select '[SEP]', 3 union all
+vocab as materialized (select '[PAD]' tok, 0 id union all select '[UNK]', 1 union all select '[CLS]', 2 union all select '[SEP]', 3 union all
   select tok, row_number() over (order by g, tok) + 3 from (select w tok, 1 g from top where length(w) > 1 union all select c, 2 from ch
   union all select '##' || c, 3 from ch union all select '##' || w, 4 from top where length(w) between 2 and 4) group by tok, g)"""
 #: Greedy matching of the distinct segments ``seg(w)``.
@@ -391,6 +401,29 @@ QUERIES = {
 _TURNS = "turns as (select q.conv_id * 1000 + q.turn k, q.conv_id, q.turn, q.text, a.text answer from conversations q join conversations a on a.conv_id = q.conv_id and a.turn = q.turn + 1 where q.role = 'user' and a.role = 'assistant')"
 
 
+def _decoded_sql() -> str:
+    """The pieces of every document, specials left out, put together again."""
+    base = _encoded_sql("").replace("list(wp.ids order by p.pos) filter (wp.ids is not null)", "list(wp.toks order by p.pos) filter (wp.toks is not null)").rstrip()
+    spelled = cleaned("replace(coalesce(array_to_string(ids, ' '), ''), ' ##', '')")
+    return f"{base} select doc_id, {spelled} as value from enc"
+
+
+def _tokens_sql() -> str:
+    """Every token of every document with its place in the lower-cased text."""
+    tiles = _extract("lower(text)", rf"[{_WS}]+|[{_RE2_PUNCT}]|[^{_WS}{_RE2_PUNCT}]+")
+    size = "case when tok = '[UNK]' then length(w) when i > 1 then length(tok) - 2 else length(tok) end"
+    return f"""with recursive {_VOCAB}, tiles as (select doc_id, unnest(s) w, generate_subscripts(s, 1) t from (select doc_id, {tiles} s from documents)),
+placed as (select doc_id, w, t, sum(length(w)) over (partition by doc_id order by t) - length(w) st from tiles),
+parts as (select doc_id, w, t, st from placed where not regexp_matches(w, '^[{_WS}]+$')),
+seg as (select distinct w from parts), {_GREEDY},
+flat as (select w, unnest(toks) tok, unnest(ids) id, generate_subscripts(toks, 1) i from wp),
+sized as (select w, tok, id, i, {size} len, sum({size}) over (partition by w order by i) e from flat),
+body as (select doc_id, row_number() over (partition by doc_id order by t, i) pos, tok, id, st + e - len a, st + e b from parts join sized using (w))
+select doc_id, pos::int pos, tok as token, id::int id, a::int "start", b::int "end" from body
+union all select doc_id, 0, '[CLS]', 2, 0, 0 from documents where text is not null
+union all select doc_id, (select count(*) from body where body.doc_id = d.doc_id)::int + 1, '[SEP]', 3, 0, 0 from documents d where text is not null"""
+
+
 def _pair_sql() -> str:
     """Both texts of a turn as rows of one table, encoded together, then put side by side."""
     base = _encoded_sql("", "both", "b")
@@ -407,6 +440,9 @@ SQL = {
     "count_tokens": _encoded_sql("select doc_id, len(ids)::bigint + 2 n_tokens from enc"),
     "count_tokens_by_group": _encoded_sql("select lang, count(*) docs, sum(len(ids) + 2)::bigint tokens from enc join documents using (doc_id) group by lang"),
     "encode_pair": _pair_sql(),
+    "tokens_relation": _tokens_sql(),
+    "encode_to_ids_whole": _encoded_sql(f"select doc_id, {_TEXT(_WITH)} ids from enc"),
+    "decode_ids_wordpiece": _decoded_sql(),
     "bpe_encode": f"with recursive {_FREQ}, {_PAIRS}, {_MERGED('pairs', 'w', 'mm.l = b.s[i] and mm.r = b.s[i + 1]')}",
     "bpe_segments": _SEGMENTS(gpt2_segments_sql("text")),
     "tiktoken_encode": f"with recursive {_FREQ}, {_PAIRS}, toks as (select l || r t, min(rk) rk from pairs group by 1), {_MERGED('toks', 'w', 'mm.t = b.s[i] || b.s[i + 1]')}",

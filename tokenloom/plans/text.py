@@ -8,6 +8,8 @@ from tokenloom.functions import normalizers as N
 from tokenloom.functions import pretokenizers as P
 from tokenloom.kernels.alphabet import BYTE_TO_CHAR
 from tokenloom.kernels.charsmap import build_charsmap
+from tokenloom.operators.segments import segments_relation
+from tokenloom.sources.tables import dealt
 
 #: What joins segments in results, a character that texts don't hold.
 MARK = "␟"
@@ -21,7 +23,7 @@ def text_query(table: str, key: str, column: str, fn):
     """key and the normalized text of each row."""
 
     def run(spark, sf_dir):
-        return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(key, fn(F.col(column)).alias("value"))
+        return dealt(spark, sf_dir, table, key, column).select(key, fn(F.col(column)).alias("value"))
 
     return run
 
@@ -30,7 +32,7 @@ def segment_query(table: str, key: str, column: str, fn):
     """key, the number of segments, and the segments joined, of each row."""
 
     def run(spark, sf_dir):
-        rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(key, fn(F.col(column)).alias("s"))
+        rows = dealt(spark, sf_dir, table, key, column).select(key, fn(F.col(column)).alias("s"))
         return rows.select(key, F.size("s").cast("long").alias("n"), F.array_join("s", MARK).alias("segments"))
 
     return run
@@ -122,9 +124,38 @@ SEGMENTS = {
 }
 
 
+#: name: (function, pattern of tiles that segments are among, pattern of tiles that are none, unit)
+PLACES = {
+    "segments_bert": (P.bert, rf"[{_WS}]+|[{_RE2_PUNCT}]|[^{_WS}{_RE2_PUNCT}]+", f"^[{_WS}]+$", "characters"),
+    "segments_whitespace": (P.whitespace_split, f"[{_WS}]+|[^{_WS}]+", f"^[{_WS}]+$", "characters"),
+    "segments_digits": (P.digits(), r"\p{N}+|\P{N}+", "^$", "characters"),
+    "segments_fixed_length_bytes": (P.fixed_length(5), "(?s).{1,5}", "^$", "bytes"),
+}
+
+
+def place_query(fn, unit: str):
+    """doc_id, pos, segment, start, end of every segment."""
+
+    def run(spark, sf_dir):
+        return segments_relation(dealt(spark, sf_dir, "documents", "doc_id", "text"), fn, keys=["doc_id"], unit=unit)
+
+    return run
+
+
+def place_sql(tiles: str, gap: str, unit: str) -> str:
+    size = "strlen(w)" if unit == "bytes" else "length(w)"
+    return f"""with tiles as (select doc_id, unnest(s) w, generate_subscripts(s, 1) t from (select doc_id, {_extract('text', tiles)} s from documents)),
+placed as (select doc_id, w, t, sum({size}) over (partition by doc_id order by t) e from tiles)
+select doc_id, (row_number() over (partition by doc_id order by t) - 1)::int pos, w segment, (e - {size})::int "start", e::int "end" from placed where not regexp_matches(w, {quoted(gap)})"""
+
+
+#: Forms that SQL lacks; they are compared with Python's in the tests.
+FORMS = {f"norm_{form.lower()}": text_query(*DOC, N.unicode_form(form)) for form in ("NFD", "NFKC", "NFKD")}
+
+
 def queries() -> dict:
-    return {name: text_query(*table, fn) for name, (table, fn, _) in TEXTS.items()} | {name: segment_query(*table, fn) for name, (table, fn, _) in SEGMENTS.items()}
+    return FORMS | {name: place_query(fn, unit) for name, (fn, _, _, unit) in PLACES.items()} | {name: text_query(*table, fn) for name, (table, fn, _) in TEXTS.items()} | {name: segment_query(*table, fn) for name, (table, fn, _) in SEGMENTS.items()}
 
 
 def oracle_sql() -> dict:
-    return {name: text_sql(*table[:2], sql(table[2])) for name, (table, _, sql) in TEXTS.items()} | {name: segment_sql(*table[:2], sql(table[2])) for name, (table, _, sql) in SEGMENTS.items()}
+    return {name: place_sql(tiles, gap, unit) for name, (_, tiles, gap, unit) in PLACES.items()} | {name: text_sql(*table[:2], sql(table[2])) for name, (table, _, sql) in TEXTS.items()} | {name: segment_sql(*table[:2], sql(table[2])) for name, (table, _, sql) in SEGMENTS.items()}
