@@ -3,6 +3,9 @@ segmentation and hashing of the words of a whole batch of texts."""
 
 from __future__ import annotations
 
+import atexit
+import ctypes
+import secrets
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,8 +20,9 @@ from tokenloom.session import ship
 #: Rows and bytes that one Arrow batch brings to a Python worker at most (a single longer
 #: text still travels whole).
 BATCH_ROWS = 1000
-BATCH_BYTES = 8 << 20
-_MASK = (1 << 64) - 1
+BATCH_BYTES = 4 << 20
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+_MADE: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,26 +30,91 @@ def shared_dir(spark: SparkSession) -> str:
     local runs, where it is unset) a temporary folder that is then put there."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tokenloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that isn't there yet; what is written to it goes when the
+    driver ends, if ``discard`` hasn't removed it before."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _MADE[path] = spark
+    return path
+
+
+def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back: the lineage is cut
     and every later use reads the same rows, whichever executors are lost."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, new_path(df.sparkSession, label)
+    df.write.options(**options).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Removes what ``materialize`` wrote; for intermediates that no frame given out reads."""
+    for df in written:
+        remove(df.sparkSession, df.written_to)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    _MADE.pop(path, None)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _remove_all() -> None:
+    for path, spark in list(_MADE.items()):
+        try:
+            remove(spark, path)
+        except Exception:  # the JVM has ended before
+            return
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``mapInArrow`` with small batches, so that memory doesn't grow with text lengths."""
-    ship(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * BATCH_BYTES))
-    return df.mapInArrow(fn, schema)
+    """``mapInArrow`` with small batches, so that memory doesn't grow with text lengths. The
+    session's batch settings are read when a plan runs, so they are put there and stay, but
+    only where they are unset: a caller's own settings hold."""
+    spark = df.sparkSession
+    ship(spark)
+    given = spark.conf.getAll
+    for key, value in _BATCHES.items():
+        if key not in given:
+            spark.conf.set(key, str(value))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: workers stay alive between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        return
+
+
+_RESIDENT: dict[tuple, object] = {}
+
+
+def resident(key: tuple, make: Callable[[], object]):
+    """What ``make`` gives, made once in a worker. Only the last one asked for is kept, so a
+    worker that serves several stages holds the tables and caches of one."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
@@ -61,8 +130,10 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = BATCH_BYTES) -> Iter
 
 
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string column, nulls as empty, and its len + 1 offsets from 0."""
-    col = col.fill_null("") if col.null_count else col
+    """The bytes of a column of strings or of binary values, nulls as empty, and its len + 1
+    offsets from 0."""
+    if col.null_count:
+        col = col.fill_null(b"" if pa.types.is_binary(col.type) else "")
     if not len(col):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     off = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
@@ -82,13 +153,20 @@ def splitmix(x: np.ndarray) -> np.ndarray:
 _KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
-def run_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the runs data[starts[i]:starts[i] + lengths[i]], eight bytes a step."""
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of ``data`` on, as numbers; zeros behind its end."""
+    padded = np.concatenate([data.view(np.uint8), np.zeros(8, np.uint8)])
+    return np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+
+
+def run_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64-bit hashes of the runs data[starts[i]:starts[i] + lengths[i]], eight bytes a step.
+    Each step is a bijection of its eight bytes, so runs of the same length and hash that
+    agree in all steps but the last are equal."""
     size = data.dtype.itemsize
     at, left = starts * size, lengths * size
-    padded = np.concatenate([data.view(np.uint8), np.zeros(8, np.uint8)])
-    every = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
-    out = splitmix(left.astype(np.uint64))
+    every = lanes(data)
+    out = splitmix(left.astype(np.uint64) ^ np.uint64(salt))
     on = None
     while True:
         lane = every[at] & _KEEP[np.minimum(left, 8)]
@@ -146,7 +224,7 @@ class Words:
 
 
 class HashIndex:
-    """An open-addressing map from 64-bit hashes to entry numbers 0, 1, 2, ... in NumPy."""
+    """An open-addressing map from 64-bit hashes to entry numbers in NumPy."""
 
     def __init__(self, bits: int = 16):
         self.n = 0
@@ -173,10 +251,11 @@ class HashIndex:
             open_ = open_[~hit & (key != 0)]
         return out
 
-    def add(self, h: np.ndarray) -> np.ndarray:
-        """Numbers the hashes, which are distinct and not yet there, from ``n`` on."""
-        h = np.where(h == 0, np.uint64(1), h)
-        new = np.arange(self.n, self.n + len(h), dtype=np.int32)
+    def add(self, h: np.ndarray, new: np.ndarray) -> None:
+        """Puts entry numbers in for hashes that are distinct and not yet there."""
+        h, new = np.where(h == 0, np.uint64(1), h), new.astype(np.int32)
+        keep = np.append(h[1:] != h[:-1], True)  # 0 and 1 may both be among them
+        h, new = h[keep], new[keep]
         self.n += len(h)
         if self.n * 2 > len(self.keys):
             full = self.keys != 0
@@ -184,7 +263,6 @@ class HashIndex:
             self._clear(int(self.n * 4).bit_length())
             self._place(old_k, old_v)
         self._place(h, new)
-        return new
 
     def _place(self, h: np.ndarray, v: np.ndarray) -> None:
         slot, left = self._slot(h), np.arange(len(h))
@@ -214,7 +292,7 @@ class Pool:
             new = np.frombuffer(b"".join(items), np.uint8)
         else:
             new = np.fromiter(chain.from_iterable(items), self.flat.dtype, int(sizes.sum()))
-        while self.used + len(new) > len(self.flat):
+        while self.used + len(new) + 8 > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while self.n + len(items) > len(self.off):
             self.off, self.len = (np.concatenate([x, np.zeros_like(x)]) for x in (self.off, self.len))
@@ -236,30 +314,58 @@ def ragged(flat: np.ndarray, off: np.ndarray, length: np.ndarray) -> tuple[np.nd
 
 class Memo:
     """Remembers what a function of a run of bytes (or code points) returned: only runs not
-    seen before reach ``compute``, which gets a list of runs. Entries are dropped all
-    together beyond ``limit``; that costs time only."""
-
-    def __init__(self, compute: Callable[[list], tuple[list, ...]], dtypes: tuple, limit: int = 3_000_000):
-        self.compute, self.dtypes, self.limit = compute, dtypes, limit
+    seen before reach ``compute``, which gets a list of runs. Runs are found by a hash that
+    is salted in each worker, and every hit is compared with the remembered run itself; a run
+    that only shares another's hash is computed anew. Entries are dropped all together beyond
+    ``limit`` of them or ``limit_bytes``; that costs time only."""
+
+    def __init__(self, compute: Callable[[list], tuple[list, ...]], dtypes: tuple, limit: int = 500_000, limit_bytes: int = 64 << 20):
+        self.compute, self.dtypes, self.limit, self.limit_bytes = compute, dtypes, limit, limit_bytes
+        self.salt = secrets.randbits(64)
         self._reset()
 
     def _reset(self) -> None:
-        self.index, self.pools = HashIndex(), [Pool(t) for t in self.dtypes]
+        self.index, self.runs, self.pools = HashIndex(), Pool(np.uint8), [Pool(t) for t in self.dtypes]
+
+    def _learn(self, runs: list[bytes]) -> np.ndarray:
+        """Numbers of new entries."""
+        first = self.runs.n
+        for pool, items in zip(self.pools, self.compute(runs), strict=True):
+            pool.extend(items)
+        self.runs.extend(runs)
+        return np.arange(first, self.runs.n)
 
     def entries(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """The entry of each run, which indexes every pool."""
-        if self.index.n > self.limit:
+        if self.runs.n > self.limit or sum(p.flat.nbytes for p in (self.runs, *self.pools)) > self.limit_bytes:
             self._reset()
-        hashes = run_hashes(data, starts, lengths)
+        begin, size = starts * data.dtype.itemsize, lengths * data.dtype.itemsize
+        raw = data.view(np.uint8)
+        cut = lambda at: [raw[i:j].tobytes() for i, j in zip(begin[at].tolist(), (begin[at] + size[at]).tolist(), strict=True)]
+        hashes = run_hashes(raw, begin, size, self.salt)
         found = self.index.get(hashes)
         missing = np.flatnonzero(found < 0)
         if len(missing):
             new, at = np.unique(hashes[missing], return_index=True)
-            at, whole, size = missing[at], data.tobytes(), data.dtype.itemsize
-            begin = starts[at] * size
-            runs = [whole[i:j] for i, j in zip(begin.tolist(), (begin + lengths[at] * size).tolist(), strict=True)]
-            for pool, items in zip(self.pools, self.compute(runs), strict=True):
-                pool.extend(items)
-            self.index.add(new)
+            self.index.add(new, self._learn(cut(missing[at])))
             found[missing] = self.index.get(hashes[missing])
+        other = np.flatnonzero(self._differing(raw, begin, size, found) | (hashes < 2))  # the index has 0 as 1
+        if len(other):  # these stay outside the index
+            runs = cut(other)
+            distinct = list(dict.fromkeys(runs))
+            number = dict(zip(distinct, self._learn(distinct).tolist(), strict=True))
+            found[other] = [number[r] for r in runs]
         return found
+
+    def _differing(self, raw: np.ndarray, begin: np.ndarray, size: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """Whether a run's entry is that of another run of the same hash."""
+        wrong = self.runs.len[found] != size
+        on = np.flatnonzero((size > 8) & ~wrong)
+        if len(on):
+            mine, known = lanes(raw), np.ndarray((len(self.runs.flat) - 7,), "<u8", self.runs.flat, strides=(1,))
+            at, there, left = begin[on], self.runs.off[found[on]], size[on]
+            while len(on):
+                wrong[on[mine[at] != known[there]]] = True
+                more = left > 16
+                on, at, there, left = on[more], at[more] + 8, there[more] + 8, left[more] - 8
+        return wrong

@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.artifacts import piece_model as pm
-from tokenloom.llm.common import Memo, map_batches, slices
+from tokenloom.llm.common import Memo, map_batches, resident, slices
 
 SPACE = "▁"
 #: Code points below it have classes of their own where texts are cut; then the space mark, then all others.
 _OWN = 510
-_PAIRS_KEPT = 2_000_000
+_PAIRS_KEPT = 500_000
 
 
 class PieceBpe:
@@ -162,13 +162,8 @@ class PieceBpe:
         return ids, id_ends[first], back, ends
 
 
-_LOADED: dict[str, PieceBpe] = {}
-
-
 def piece_bpe(path: str) -> PieceBpe:
-    if path not in _LOADED:
-        _LOADED[path] = PieceBpe(path)
-    return _LOADED[path]
+    return resident(("piece_bpe", path), lambda: PieceBpe(path))
 
 
 def encode_decode(docs: DataFrame, model: str) -> DataFrame:

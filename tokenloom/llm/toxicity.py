@@ -9,7 +9,7 @@ rather than used, or aimed at someone. A logistic model turns the sums into a sc
 
 Defined results: a null text counts as empty; texts without any term get the score of their
 length alone; equal texts get equal scores; rows with a null id are scored, but never learned
-from, nor are null labels; of labels with equal ids the largest counts; with no labelled row
+from, nor are null labels; of labels with equal ids the largest counts, of documents with equal ids the smallest text; with no labelled row
 of either class all scores are the share of toxic ones, 0 at least; an empty table gives an
 empty result; columns other than doc_id and text are left alone."""
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import Memo, Words, map_batches, materialize, slices
+from tokenloom.llm.common import Memo, Words, map_batches, materialize, resident, slices
 
 THRESHOLD = 0.3
 #: Labelled rows learned from at most (chosen by a hash of the id), and terms kept at most.
@@ -39,6 +39,8 @@ SAME_TEXTS = 0.98
 STEMS = range(4, 9)
 ONE_ERROR, TWO_ERRORS = 5, 9
 WINDOW = 4
+#: Steps of the automaton that a worker remembers (each is made again on demand).
+STEPS_KEPT = 50_000
 NEAR_BYTES = 60
 
 #: Words that report speech, and words that address or name someone (fixed values).
@@ -107,7 +109,7 @@ class Lexicon:
             key = (states, c)
             nxt = self.step.get(key)
             if nxt is None:
-                if len(self.step) > 500_000:
+                if len(self.step) > STEPS_KEPT:
                     self.step.clear()
                 nxt = self.step[key] = self._next(states, c)
             states = nxt
@@ -234,9 +236,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     """Learns from at most ``sample_rows`` labelled rows that aren't held out."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~is_held_out())
     chosen = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    # the chosen ids are sample_rows at most, so they are broadcast
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
-    sample = materialize(texts.select(F.coalesce("text", F.lit("")).alias("text"), "toxic"), "toxic-sample")
+    # the chosen ids are sample_rows at most, so they are broadcast; of rows with equal ids one is learned from
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    sample = materialize(texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"), "toxic-sample")
     n = {bool(r["toxic"]): r["count"] for r in sample.groupBy("toxic").count().collect()}
     share = n.get(True, 0) / max(1, sum(n.values()))
     if len(n) < 2:
@@ -251,7 +253,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     model = Model([(r["term"].rstrip("*"), r["term"].endswith("*")) for r in best], [float(r["odds"]) for r in best], share=share)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model)
+        scorer = scorer_of(model)
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 x = scorer.features(part.column(0))
@@ -262,16 +264,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     return model
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def scorer_of(model: Model) -> Scorer:
     """One scorer a worker and model."""
-    key = repr(model)
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(model)
-    return _SCORERS[key]
+    return resident(("toxicity", repr(model)), lambda: Scorer(model))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 from tokenloom.kernels.alphabet import BYTE_TO_CHAR
-from tokenloom.llm.common import Memo, latin_capitals, lookup, utf8
+from tokenloom.llm.common import Memo, latin_capitals, lookup, resident, utf8
 
 #: Classes of bytes: white space, letters, other signs, digits, and those whose whole
 #: chunk between ASCII white space goes through the library's full pipeline (apostrophes
@@ -92,11 +92,6 @@ class WordBpe:
             data[i:j] = raw[i:j]
 
 
-_LOADED: dict[str, WordBpe] = {}
-
-
 def word_bpe(path: str) -> WordBpe:
     """One table a worker and file."""
-    if path not in _LOADED:
-        _LOADED[path] = WordBpe(path)
-    return _LOADED[path]
+    return resident(("word_bpe", path), lambda: WordBpe(path))
