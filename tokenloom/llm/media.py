@@ -14,7 +14,9 @@ give equal results; other columns are left alone."""
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import ahocorasick
@@ -23,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import map_batches, materialize, slices
+from tokenloom.llm.common import map_batches, materialize, slices, utf8
 
 UNKNOWN = "application/octet-stream"
 #: Samples are stored as unsigned 8-bit mono PCM at this nominal rate.
 RATE = 8000
 PAD = 64
+#: Bytes of values that are Python objects at a time (a longer one alone).
+PART_BYTES = 1 << 20
 
 
 def wav(samples: bytes) -> bytes:
@@ -157,13 +161,23 @@ def _ogg(data: bytes, at: int) -> tuple[str, int] | None:
     return None
 
 
-def _pdf(data: bytes, at: int) -> tuple[str, int] | None:
+class _Marks:
+    """The places of the marks that end a PDF file, found once for each value."""
+
+    def __init__(self, data: bytes):
+        self.ends, self.starts = ([m.start() for m in re.finditer(mark, data)] for mark in (b"%%EOF", b"startxref"))
+
+
+def _pdf(data: bytes, at: int, marks: _Marks | None = None) -> tuple[str, int] | None:
     if not data[at + 5 : at + 6].isdigit() or data[at + 6 : at + 7] != b".":
         return None
-    end = data.find(b"%%EOF", at)
-    start = data.rfind(b"startxref", at, end) if end >= 0 else -1
-    place = data[start + 9 : end].split() if start >= 0 else []
-    ok = len(place) == 1 and place[0].isdigit() and int(place[0]) < start - at
+    marks = marks or _Marks(data)
+    k = bisect_left(marks.ends, at)
+    end = marks.ends[k] if k < len(marks.ends) else -1
+    j = bisect_right(marks.starts, end - 9) - 1
+    start = marks.starts[j] if end >= 0 and j >= 0 and marks.starts[j] >= at else -1
+    place = data[start + 9 : min(end, start + 64)].split() if start >= 0 else []
+    ok = len(place) == 1 and place[0].isdigit() and end - start < 64 and int(place[0]) < start - at
     return ("application/pdf", end + 5 - at) if ok else None
 
 
@@ -184,10 +198,14 @@ _SIGNATURES = _automaton()
 
 def sniff(data: bytes) -> tuple[str, list[tuple[str, int, int]]]:
     """The type of a value and the media inside it (type, offset, length)."""
-    kind, inside = UNKNOWN, []
+    kind, inside, marks = UNKNOWN, [], None
     for end, magic in _SIGNATURES.iter(data.decode("latin-1")):
         at = end + 1 - len(magic)
-        found = MAGIC[magic](data, at)
+        if magic == b"%PDF-":
+            marks = marks or _Marks(data)
+            found = _pdf(data, at, marks)
+        else:
+            found = MAGIC[magic](data, at)
         if found and at == 0 and found[1] == len(data):
             kind = found[0]
         elif found:
@@ -202,30 +220,39 @@ def encode_texts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                raw = [(t or "").encode() for t in part.column(1).to_pylist()]
-                media = [wav(x.ljust(max(PAD, -(-len(x) // PAD) * PAD), b"\0")) for x in raw]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, raw), pa.int64()), pa.array(["audio/wav"] * len(raw)), pa.array(media, pa.binary())], schema=schema)
+            for part in slices(batch, "text", PART_BYTES):
+                data, off = utf8(part.column(1))
+                raw, ends = data.tobytes(), off.tolist()
+                media = [wav(raw[i:j].ljust(max(PAD, -(-(j - i) // PAD) * PAD), b"\0")) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(off)), pa.array(["audio/wav"] * len(part)), pa.array(media, pa.binary())], schema=schema)
 
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, n_bytes long, declared string, media binary")
 
 
 SNIFFED = "media_type string, corrected boolean, embedded array<struct<type: string, offset: long, length: long>>"
+SPANS = pa.list_(pa.struct([("type", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]))
+
+
+def values_of(col: pa.Array) -> Iterator[memoryview]:
+    """The values of a binary column, null as empty, without copying the column."""
+    data, off = utf8(col)
+    view, ends = memoryview(data), off.tolist()
+    return (view[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True))
 
 
 def sniff_column(rows: DataFrame, media: str = "media", declared: str | None = "declared") -> DataFrame:
     """``rows`` with media_type (the type found), corrected (whether it contradicts the
     declared one) and embedded (media carved from within)."""
     taken = [f for f in rows.schema.fields if f.name not in ("media_type", "corrected", "embedded")]
-    spans = pa.list_(pa.struct([("type", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
-            values = [sniff(x.as_py() or b"") for x in batch.column(names.index(media))]
-            said = batch.column(names.index(declared)).to_pylist() if declared else [None] * len(values)
-            more = [pa.array([k for k, _ in values], pa.string()), pa.array([d is not None and d != k for d, (k, _) in zip(said, values, strict=True)]), pa.array([[dict(zip(("type", "offset", "length"), s, strict=True)) for s in inside] for _, inside in values], spans)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*names, "media_type", "corrected", "embedded"])
+            for part in slices(batch, media, PART_BYTES):
+                values = [sniff(bytes(x)) for x in values_of(part.column(names.index(media)))]
+                said = part.column(names.index(declared)).to_pylist() if declared else [None] * len(values)
+                more = [pa.array([k for k, _ in values], pa.string()), pa.array([d is not None and d != k for d, (k, _) in zip(said, values, strict=True)]), pa.array([[dict(zip(("type", "offset", "length"), s, strict=True)) for s in inside] for _, inside in values], SPANS)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*names, "media_type", "corrected", "embedded"])
 
     kept = rows.select(*[F.col(f"`{f.name}`") for f in taken])
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in taken), SNIFFED])
@@ -236,27 +263,32 @@ def carve(media: bytes, offset: int, length: int) -> bytes:
     return media[offset : offset + length]
 
 
-def sample_features(sniffed: DataFrame) -> DataFrame:
-    """What is read back from the stored bytes of 8-bit sound, one row a value."""
+def sample_features(stored: DataFrame, media: str = "media", declared: str = "declared") -> DataFrame:
+    """What sniffing and reading back give for stored 8-bit sound (doc_id, n_bytes, the media
+    column and the declared type), one row a value. A value that isn't valid sound of this
+    kind has no payload, and its type says what it is instead."""
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
 
+    def features(value: bytes, said: str | None) -> tuple:
+        kind, spans = sniff(value)
+        payload = wav_samples(value) if kind == "audio/wav" else b""
+        levels = np.frombuffer(payload, np.uint8)
+        mean = int(levels.sum(dtype=np.int64)) * 1000 // max(1, len(levels))
+        carved = ",".join(f"{t}@{offset}+{length}" for t, offset, length in spans)
+        feature = f"{kind};corrected={int(said is not None and said != kind)};samples={len(levels)};mean={mean / 1000:.3f};peak={int(levels.max(initial=0))};silent={int((levels == 0).sum())};embedded={carved}"
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), len(value), hashlib.sha256(value).hexdigest(), feature
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sizes, media, kinds, inside = (batch.column(i).to_pylist() for i in range(5))
-            out = []
-            for value, kind, spans in zip(media, kinds, inside, strict=True):
-                payload = wav_samples(value)
-                levels = np.frombuffer(payload, np.uint8)
-                mean = int(levels.sum(dtype=np.int64)) * 1000 // len(levels)
-                carved = ",".join(f"{s['type']}@{s['offset']}+{s['length']}" for s in spans)
-                feature = f"{kind};samples={len(levels)};mean={mean / 1000:.3f};peak={levels.max()};silent={int((levels == 0).sum())};embedded={carved}"
-                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), len(value), hashlib.sha256(value).hexdigest(), feature))
-            columns = [pa.array(c, f[1]) for c, f in zip(zip(*out, strict=True), fields[2:], strict=True)] if out else [pa.array([], f[1]) for f in fields[2:]]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), *columns], schema=pa.schema(fields))
-
-    return map_batches(sniffed.select("doc_id", "n_bytes", "media", "media_type", "embedded"), run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-
-
-def store_and_sniff(docs: DataFrame) -> DataFrame:
-    """Stores the texts of ``docs`` as a media column in the shared folder, and sniffs it."""
-    return sniff_column(materialize(encode_texts(docs), "media"))
+            for part in slices(batch, "media", PART_BYTES):
+                out = [features(bytes(x), d) for x, d in zip(values_of(part.column(2)), part.column(3).to_pylist(), strict=True)]
+                columns = [pa.array(c, f[1]) for c, f in zip(zip(*out, strict=True), fields[2:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], schema=pa.schema(fields))
+
+    kept = stored.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n_bytes").cast("long").alias("n_bytes"), F.col(media).alias("media"), F.col(declared).cast("string").alias("declared"))
+    return map_batches(kept, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
+
+def store(docs: DataFrame) -> DataFrame:
+    """Stores the texts of ``docs`` as a media column in the shared folder."""
+    return materialize(encode_texts(docs), "media", **{"parquet.block.size": str(16 << 20)})  # a row group is in memory at once
