@@ -22,9 +22,11 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +53,10 @@ NAMES = {
 }
 _NAME_LIST = {n: names for names in NAMES.values() for n in names}
 TITLES = r"Mr|Mrs|Ms|Miss|Dr|Prof|Sir|Herr|Frau|Señor|Señora|Monsieur|Madame|Mme|г-н|г-жа"
+#: Titles that stand for nothing else, so that a name behind them may be in lower case, and
+#: words of lower case that are no names (fixed values).
+SURE_TITLES = frozenset(["mr", "mrs", "dr", "prof"])
+NO_NAMES = frozenset("and the for with who was has had his her our your not are but from said says will can der die das und les des que est los las".split())
 
 #: Types and their patterns, the more specific first; group v is replaced, else the whole.
 PATTERNS = [
@@ -61,22 +67,27 @@ PATTERNS = [
     ("ip", r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"),
     ("card", r"(?<![\d.,-])(?:\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{13,19})(?![\d-])"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
+    ("phone", r"(?i:\b(?:call|phone|tel|telephone|fax|mobile|cell|telefon|handy|tél|teléfono)\b[.:]{0,2} ?)(?P<v>\+?\(?\d(?:[ ()./-]{0,2}\d){6,14})(?![\d-])"),
+    ("phone", r"(?<![\w.+/-])0\d{1,4}[ /-]\d{3,4}[ -]?\d{3,4}(?![\d.,/-])"),
     ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"),
-    ("name", rf"\b(?:{TITLES})\.? (?=(?P<v>[^\W\d_]+(?:-[^\W\d_]+)?(?: [^\W\d_]+(?:-[^\W\d_]+)?){{0,2}}))"),
+    ("name", rf"\b(?P<t>(?i:{TITLES}))\.? (?=(?P<v>[^\W\d_]+(?:-[^\W\d_]+)?(?: [^\W\d_]+(?:-[^\W\d_]+)?){{0,2}}))"),
+    ("name", rf"\b(?P<v>(?:{'|'.join(sorted({n for names in NAMES.values() for w in names for n in (w.capitalize(), w.upper())}))})(?: (?:[^\W\d_]\. )?[^\W\d_]+(?:-[^\W\d_]+)?){{1,2}})"),
 ]
 _COMPILED = [(kind, re.compile(p)) for kind, p in PATTERNS]
-_LIKELY = re.compile(rf"[@\d]|\b(?:{TITLES})\b|(?i:token|secret|key|passw|pwd)|AKIA|gh[pousr]_|sk-|[0-9A-Fa-f]{{32}}")
+_GIVEN = re.compile(dict(enumerate(p for k, p in PATTERNS if k == "name"))[1])
+_LIKELY = re.compile(rf"[@\d]|\b(?i:{TITLES})\b|(?i:token|secret|key|passw|pwd)|AKIA|gh[pousr]_|sk-|[0-9A-Fa-f]{{32}}|{_GIVEN.pattern.replace("?P<v>", "?:")}")
 
 
 def _feistel(value: int, size: int, key: str, back: bool = False) -> int:
     """A keyed permutation of 0 .. size - 1, or its inverse."""
     half = max(1, (size - 1).bit_length() + 1 >> 1)
-    mask = (1 << half) - 1
+    mask, width = (1 << half) - 1, half // 8 + 1
+    secret = hashlib.sha256(f"{key}:{size}".encode()).digest()
     while True:
         left, right = value >> half, value & mask
         for r in range(7, -1, -1) if back else range(8):
             side = left if back else right
-            digest = hashlib.blake2b(f"{r}:{size}:{side}".encode(), key=hashlib.sha256(key.encode()).digest(), digest_size=64).digest()
+            digest = hashlib.blake2b(bytes([r]) + side.to_bytes(width, "big"), key=secret, digest_size=64).digest()
             mixed = int.from_bytes(digest * (half // 512 + 1), "big") & mask
             left, right = (right ^ mixed, left) if back else (right, left ^ mixed)
         value = left << half | right
@@ -89,19 +100,51 @@ def permute(value: int, size: int, key: str) -> int:
     return _feistel((_feistel(value, size, key) + 1) % size, size, key, back=True)
 
 
+def permute_long(digits: np.ndarray, bases: np.ndarray, key: str) -> np.ndarray:
+    """As ``permute``, for a number given by its digits and their bases, in linear time: every
+    second digit is moved on by what a keyed hash makes of all others, in turns."""
+    sides = [slice(0, None, 2), slice(1, None, 2)]
+
+    def turn(x: np.ndarray, r: int, sign: int) -> None:
+        to, by = sides[r % 2], sides[1 - r % 2]
+        stream = hashlib.shake_256(f"{key}:{r}:".encode() + x[by].astype(np.uint8).tobytes()).digest(8 * len(x[to]))
+        x[to] = (x[to] + sign * (np.frombuffer(stream, "<u8") % bases[to].astype(np.uint64)).astype(np.int64)) % bases[to]
+
+    x = digits.astype(np.int64).copy()
+    for r in range(8):
+        turn(x, r, 1)
+    low = len(x) - 1  # the next number: trailing digits that are full turn over
+    while low > 0 and x[low] == bases[low] - 1:
+        x[low] = 0
+        low -= 1
+    x[low] = (x[low] + 1) % bases[low]
+    for r in range(7, -1, -1):
+        turn(x, r, -1)
+    return x
+
+
+#: Varying characters beyond which they are permuted digit by digit, not as one number.
+LONG = 128
+
+
 def respell(text: str, key: str, groups=_GROUP.get) -> str:
     """Exchanges the letters and digits of ``text`` within their alphabets, as one number."""
     spots = [(i, *groups(c.lower())) for i, c in enumerate(text) if groups(c.lower())]
-    size = value = 1
-    value = 0
-    for _, alphabet, digit in spots:
-        value, size = value * len(alphabet) + digit, size * len(alphabet)
-    if size == 1:
+    if not spots:
         return text
     shape = hashlib.sha256("".join(a[0] for _, a, _ in spots).encode()).hexdigest()
-    value, out = permute(value, size, f"{key}:{shape}"), list(text)
-    for i, alphabet, _ in reversed(spots):
-        value, digit = divmod(value, len(alphabet))
+    if len(spots) > LONG:
+        made = permute_long(np.array([d for _, _, d in spots]), np.array([len(a) for _, a, _ in spots]), f"{key}:{shape}").tolist()
+    else:
+        value, size, made = 0, 1, []
+        for _, alphabet, digit in spots:
+            value, size = value * len(alphabet) + digit, size * len(alphabet)
+        value = permute(value, size, f"{key}:{shape}")
+        for _, alphabet, _ in reversed(spots):
+            value, digit = divmod(value, len(alphabet))
+            made.insert(0, digit)
+    out = list(text)
+    for (i, alphabet, _), digit in zip(spots, made, strict=True):
         out[i] = _upper(alphabet[digit]) if text[i].isupper() else alphabet[digit]
     return "".join(out)
 
@@ -223,8 +266,17 @@ def _name(text: str, key: str) -> str:
 _MAKERS = {"secret": _secret, "email": _email, "iban": _iban, "ip": _ip, "card": _card, "ssn": respell, "phone": _phone, "name": _name}
 
 
-@lru_cache(maxsize=100_000)
 def surrogate(kind: str, text: str, key: str = KEY) -> str:
+    """The made-up entity in place of this one."""
+    return _kept(kind, text, key) if len(text) <= LONG else _made(kind, text, key)
+
+
+@lru_cache(maxsize=20_000)
+def _kept(kind: str, text: str, key: str) -> str:
+    return _made(kind, text, key)
+
+
+def _made(kind: str, text: str, key: str) -> str:
     plain = _ascii_digits(text) if kind in ("iban", "ip", "card", "ssn", "phone") else text
     if plain == text:
         return _MAKERS[kind](text, f"{key}:{kind}")
@@ -245,31 +297,69 @@ def _other_digits(part: str, key: str) -> str:
     return str(permute(int(part), (10, 100, 256)[len(part) - 1], key)).zfill(len(part))
 
 
+def _named(m: re.Match) -> int:
+    """How many of the matched words make a name: those of upper case, or behind some titles
+    one of lower case."""
+    words = m["v"].split(" ")
+    n = next((i for i, w in enumerate(words) if not w[0].isupper()), len(words))
+    if "t" not in m.re.groupindex:
+        return n if n > 1 and words[n - 1][-1] != "." else 0  # a given name alone may be any word
+    low = words[0].lower()
+    if not n and m["t"].lower() in SURE_TITLES and words[0] == low and len(low) > 2 and low not in NO_NAMES:
+        n = 1
+    return n
+
+
+class _Taken:
+    """Spans that don't overlap, in order."""
+
+    def __init__(self):
+        self.begins: list[int] = []
+        self.spans: list[tuple[str, int, int]] = []
+
+    def free(self, begin: int, end: int) -> bool:
+        at = bisect_left(self.begins, begin)
+        return (at == 0 or self.spans[at - 1][2] <= begin) and (at == len(self.begins) or self.begins[at] >= end)
+
+    def merge(self, found: list[tuple[str, int, int]]) -> None:
+        """Adds spans that are free and in order among themselves."""
+        self.spans = sorted([*self.spans, *found], key=lambda s: s[1])
+        self.begins = [b for _, b, _ in self.spans]
+
+
+_WORD = re.compile(r"[^\W\d_]+")
+_INSIDE = re.compile(r"[\w]")
+
+
 def detect(text: str) -> list[tuple[str, int, int]]:
     """(type, begin, end) of the entities of a text, in order, none overlapping another."""
     if not _LIKELY.search(text):
         return []
-    taken: list[tuple[str, int, int]] = []
+    taken = _Taken()
     for kind, pattern in _COMPILED:
+        found: list[tuple[str, int, int]] = []
         for m in pattern.finditer(text):
             begin, end = m.span("v") if "v" in pattern.groupindex else m.span()
             if kind == "ip" and any(int(x) > 255 for x in m[0].split(".")):
                 continue
             if kind == "name":
-                words = m["v"].split(" ")
-                n = next((i for i, w in enumerate(words) if not w[0].isupper()), len(words))
-                end = begin + len(" ".join(words[:n]))
+                n = _named(m)
+                end = begin + len(" ".join(m["v"].split(" ")[:n]))
                 if not n:
                     continue
-            if all(end <= b or begin >= e for _, b, e in taken):
-                taken.append((kind, begin, end))
+            if (not found or found[-1][2] <= begin) and taken.free(begin, end):
+                found.append((kind, begin, end))
+        if found:
+            taken.merge(found)
     # later mentions of a part of a name, without the title
-    parts = {w for k, b, e in taken if k == "name" for w in re.split("[ -]", text[b:e]) if len(w) > 2}
+    parts = {w.lower() for k, b, e in taken.spans if k == "name" for w in re.split("[ .-]+", text[b:e]) if len(w) > 2}
     if parts:
-        for m in re.finditer(rf"\b(?:{'|'.join(sorted(map(re.escape, parts), key=lambda w: (-len(w), w)))})\b", text):
-            if all(m.end() <= b or m.start() >= e for _, b, e in taken):
-                taken.append(("name", *m.span()))
-    return sorted(taken, key=lambda s: s[1])
+        more = []
+        for m in _WORD.finditer(text):
+            if m[0].lower() in parts and m[0][0].isupper() and not (m.start() and _INSIDE.match(text[m.start() - 1])) and not (m.end() < len(text) and _INSIDE.match(text[m.end()])) and taken.free(*m.span()):
+                more.append(("name", *m.span()))
+        taken.merge(more)
+    return taken.spans
 
 
 def anonymize(text: str, key: str = KEY) -> tuple[str, list[dict]]:
