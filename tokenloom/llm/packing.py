@@ -5,8 +5,10 @@ best-fit decreasing. Dual-feasible functions give a lower bound on the bins a gr
 where best fit meets it, the group is certified, and keeps all bins that are nearly full. A
 group with a gap to its bound gives back every bin that isn't full. The given-back items
 form the next, smaller round, dealt anew with those of other groups, until one group holds
-all that is left or a fixed number of rounds is over. No step sees more than ``GROUP_ROWS`` items of a group at once, and
-no step needs the ids themselves.
+all that is left or a round places next to nothing for good (less than one item in
+``LEAST_SHARE``; then more rounds would only deal the same items again, and each group keeps
+what it packed, with its own certificate). No step sees more than about ``GROUP_ROWS`` items
+of a group at once, and no step needs the ids themselves.
 
 Defined results: a null text counts as empty (its only id is the end id); equal and
 repeated rows are separate items, told apart by a row number; an empty table gives an
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenloom.llm.common import map_batches, materialize, slices
+from tokenloom.llm.common import discard, map_batches, materialize, slices
 from tokenloom.llm.word_bpe import word_bpe
 
 CAPACITY = 4096
@@ -33,9 +35,9 @@ END_ID = 1
 #: Items that one group packs at once, on average.
 GROUP_ROWS = 4096
 #: A certified group gives back bins with more than this part of the capacity free, since
-#: other groups may have what fits. Rounds end here even if much is still given back.
+#: other groups may have what fits.
 SLACK = 128
-ROUNDS = 6
+LEAST_SHARE = 64
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, item long"
 
@@ -145,18 +147,17 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROW
     item (group_bins, group_bound) to ``items``, which have length (1 to capacity) and
     item (distinct). Each round's placements are written to the shared folder once."""
     out_schema = T.StructType([*items.schema.fields, *T._parse_datatype_string("sequence_id long, offset long, round int, group_bins long, group_bound long, given_back boolean").fields])
-    pool, done, level = items, [], 0
+    pool, done, level, before = items, [], 0, None
     while True:
         left = pool.count()
         groups = max(1, -(-left // group_rows))
-        last = groups == 1 or level + 1 == ROUNDS
-
+        last = groups == 1 or before is not None and (before - left) * LEAST_SHARE < before
         group = F.pmod(F.xxhash64("item", F.lit(level)), F.lit(groups)).alias("group")
         placed = materialize(pool.groupBy(group).applyInPandas(_placer(capacity, level, last, out_schema.names), out_schema), f"packing-{level}")
         done.append(placed.where(~F.col("given_back")).drop("given_back"))
         if last:
             break
-        pool, level = placed.where("given_back").select(*items.columns), level + 1
+        pool, level, before = placed.where("given_back").select(*items.columns), level + 1, left
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
@@ -165,4 +166,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROW
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Tokenizes whole documents once and packs their pieces; see ``token_pieces``, ``pack``."""
-    return pack(materialize(token_pieces(docs, tokenizer, capacity, end_id), "pieces"), capacity)
+    pieces = materialize(token_pieces(docs, tokenizer, capacity, end_id), "pieces")
+    out = pack(pieces, capacity)  # reads what its rounds wrote
+    discard(pieces)
+    return out
