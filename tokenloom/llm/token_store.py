@@ -12,7 +12,6 @@ empty table gives an empty result, other columns are left alone."""
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -22,10 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import map_batches, shared_dir, slices
+from tokenloom.llm.common import map_batches, materialize, new_path, slices
 from tokenloom.llm.packing import END_ID, with_end
 from tokenloom.llm.word_bpe import word_bpe
 
+#: Files whose totals are broadcast (16 bytes each); beyond them they are joined by a shuffle.
+MOST_FILES = 1 << 20
+
 STORE = "shard int, doc_id long, local_start long, n_tokens long, ids array<int>"
 #: ORC's own settings: 64 MB stripes, an index entry and Bloom filter every 10,000 rows.
 OPTIONS = {"orc.stripe.size": str(64 << 20), "orc.create.index": "true", "orc.row.index.stride": "10000", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "compression": "zlib"}
@@ -54,10 +56,10 @@ def read_token_store(spark: SparkSession, path: str, doc_ids: list[int] | None =
     stripes that can't hold them are skipped by their indexes and Bloom filters."""
     stored = spark.read.schema(STORE).orc(path)
     # one row a file; totals read two columns only
-    totals = stored.groupBy("shard").agg(F.sum("n_tokens").alias("all_tokens"))
+    totals = materialize(stored.groupBy("shard").agg(F.sum("n_tokens").alias("all_tokens")), "totals")
     base = totals.select("shard", (F.sum("all_tokens").over(Window.orderBy("shard")) - F.col("all_tokens")).alias("base"))
     rows = stored.where(F.col("doc_id").isin(doc_ids)) if doc_ids is not None else stored
-    return rows.join(F.broadcast(base), "shard").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids")
+    return rows.join(F.broadcast(base) if totals.count() <= MOST_FILES else base, "shard").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids")
 
 
 def with_crc(stored: DataFrame) -> DataFrame:
@@ -77,6 +79,6 @@ def with_crc(stored: DataFrame) -> DataFrame:
 
 def token_store(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """Writes the store to the shared folder and reads it back."""
-    path = f"{shared_dir(docs.sparkSession)}/token-store-{uuid.uuid4().hex}"
+    path = new_path(docs.sparkSession, "token-store")
     write_token_store(docs, path, tokenizer, end_id)
     return read_token_store(docs.sparkSession, path)
