@@ -14,13 +14,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import Words, map_batches, run_hashes, slices
+from tokenloom.llm.common import Words, map_batches, resident, run_hashes, slices
 
 #: Plain phrases, each the label of its license (fixed values).
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -32,6 +33,10 @@ conditions are met <<beginOptional>>1<<endOptional>> redistributions of source c
 and the following disclaimer <<beginOptional>>2<<endOptional>> redistributions in binary form must reproduce the above copyright notice this list of
 conditions and the following disclaimer in the documentation and or other materials provided with the distribution"""
 
+_GNU = """is free software you can redistribute it and or modify it under the terms of the gnu {kind} public license as published by the
+free software foundation either {version} or <<beginOptional>>at your option<<endOptional>> any later version <<var;most=12>> is distributed in the hope that it will be useful but without any
+warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu {kind} public license for more details"""
+
 #: Templates of notices and of whole licenses: label and marked wording (fixed values).
 TEMPLATES = [
     ("mit", "<<any;released|licensed|distributed|available>> under the <<beginOptional>>terms of the<<endOptional>> mit license"),
@@ -45,7 +50,7 @@ TEMPLATES = [
     ("cc-by-sa", "<<any;cc by sa|creative commons attribution sharealike>> <<any;2|3|4>> 0"),
     ("cc-by", "<<any;cc by|creative commons attribution>> <<any;2|3|4>> 0"),
     ("cc0", "<<any;cc0 1 0|creative commons zero>>"),
-    ("all-rights-reserved", "<<any;copyright|c>> <<var;most=8>> all rights reserved"),
+    ("all-rights-reserved", "copyright <<beginOptional>>c<<endOptional>> <<var;most=8>> all rights reserved"),
     (
         "mit",
         """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
@@ -60,8 +65,52 @@ TEMPLATES = [
         provided that the above copyright notice and this permission notice appear in all copies""",
     ),
     ("bsd-2", f"{_REDISTRIBUTE} {_DISCLAIMER}"),
+    (
+        "apache-2",
+        """licensed under the apache license version 2 0 the license you may not use this <<any;file|work|software|product>> except in compliance with
+        the license you may obtain a copy of the license at <<var;most=8>> unless required by applicable law or agreed to in writing software
+        distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied
+        see the license for the specific language governing permissions and limitations under the license""",
+    ),
+    ("gpl-2", _GNU.format(kind="general", version="version 2 of the license")),
+    ("gpl-3", _GNU.format(kind="general", version="version 3 of the license")),
+    ("lgpl", _GNU.format(kind="<<any;lesser|library>> general", version="version <<any;2|2 1|3>> of the license")),
+    ("agpl-3", _GNU.format(kind="affero general", version="version 3 of the license")),
+    (
+        "mpl-2",
+        """this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file
+        you can obtain one at <<var;most=8>>""",
+    ),
+    (
+        "unlicense",
+        """this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or
+        distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means""",
+    ),
+    (
+        "zlib",
+        """this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages
+        arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications
+        and to alter it and redistribute it freely subject to the following restrictions <<beginOptional>>1<<endOptional>> the origin of this software
+        must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment
+        in the product documentation would be appreciated but is not required <<beginOptional>>2<<endOptional>> altered source versions must be plainly
+        marked as such and must not be misrepresented as being the original software <<beginOptional>>3<<endOptional>> this notice may not be removed or
+        altered from any source distribution""",
+    ),
+    (
+        "bsl-1",
+        """permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation
+        covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works
+        of the software and to permit third parties to whom the software is furnished to do so all subject to the following""",
+    ),
     ("bsd-3", f"{_REDISTRIBUTE} <<beginOptional>>3<<endOptional>> neither the name of <<var;most=12>> may be used to endorse or promote products derived from this software without specific prior written permission {_DISCLAIMER}"),
 ]
+
+
+def wordings(folder: Path = Path(__file__).parent / "wordings") -> list[tuple[str, str]]:
+    """Templates of whole license texts (fixed values), a file each with the label as its name."""
+    return [(p.name.removesuffix(".txt"), p.read_text(encoding="utf-8")) for p in sorted(folder.glob("*.txt"))]
+
+
 #: Scores by the strongest evidence: a base phrase, a marked notice, and mandatory wording of so many words.
 SCORES = (0.6, 0.8, 1.0)
 LONG_WORDS = 25
@@ -200,12 +249,14 @@ FOUND = "doc_id long, n_words long, found array<struct<label: string, base: bool
 def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, templates: list[tuple[str, str]] | None = None) -> DataFrame:
     """doc_id, n_words and every place found: label, whether by a base phrase, whether by
     a long wording, and the words from first_word up to, not with, end_word."""
-    phrases, templates = PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates
+    # whole texts are read here, on the driver, and travel with the function
+    phrases, templates = PHRASES if phrases is None else phrases, TEMPLATES + wordings() if templates is None else templates
+    key = hash((tuple(phrases.items()), tuple(templates)))
     spans = pa.list_(pa.struct([("label", pa.string()), ("base", pa.bool_()), ("long", pa.bool_()), ("first_word", pa.int64()), ("end_word", pa.int64())]))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("found", spans)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(phrases, templates)
+        scanner = resident(("licenses", key), lambda: Scanner(phrases, templates))
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 words = Words(part.column(1))
