@@ -5,13 +5,12 @@ sequences. Every stage takes (spark, docs, sf_dir); all but the last return the
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tokenloom.llm import neardup, packing, pii, toxicity
-from tokenloom.llm.common import shared_dir
+from tokenloom.llm.common import new_path, remove
 from tokenloom.llm.queries import WORD_BPE
+from tokenloom.sources.tables import spread, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +47,15 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents, each over what the one before wrote."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, paths = spread(table(spark, sf_dir, "documents")), []
     for name, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        paths.append(new_path(spark, f"stage-{name}"))
+        stage(spark, docs, sf_dir).write.parquet(paths[-1])
+        docs = spark.read.parquet(paths[-1])
+        for done in paths[:-1]:
+            remove(spark, done)
+        del paths[:-1]
+    out = STAGES[-1][1](spark, docs, sf_dir)  # reads what packing wrote
+    for done in paths:
+        remove(spark, done)
+    return out
