@@ -133,7 +133,7 @@ def test_word_bpe_equals_the_library_on_odd_texts(word_bpe):
 
 
 def test_media_column_is_lossless(docs, none):
-    rows = media.sample_features(media.store_and_sniff(docs)).collect()
+    rows = media.sample_features(media.store(docs)).collect()
 
     def want(t):
         raw = (t or "").encode()
@@ -142,7 +142,7 @@ def test_media_column_is_lossless(docs, none):
 
     assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_sha256) for r in rows) == Counter((i, *want(t)) for i, t in ROWS)
     assert all(r.feature.startswith("audio/wav;") for r in rows)
-    assert media.store_and_sniff(none).collect() == []
+    assert media.sample_features(media.store(none)).collect() == []
 
 
 def _png() -> bytes:
@@ -436,8 +436,7 @@ def test_near_duplicates_against_brute_force(spark, none, monkeypatch):
         want[r] = min(x for x in (want.get(r), i) if x is not None) if not (want.get(r) is None and i is None) else None
     expect = Counter((i, want[r]) for (i, _), r in zip(rows, roots, strict=True))
     assert Counter(map(tuple, neardup.near_duplicates(docs).collect())) == expect
-    monkeypatch.setattr(neardup, "BLOCK", 4)  # large groups in blocks give the same
-    monkeypatch.setattr(neardup, "SET_BLOCK", 3)
+    monkeypatch.setattr(neardup, "PART_BYTES", 4000)  # large groups in parts give the same
     assert Counter(map(tuple, neardup.near_duplicates(docs).collect())) == expect
     kept = neardup.drop_copies(docs)
     assert kept.columns == docs.columns
