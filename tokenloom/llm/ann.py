@@ -16,7 +16,7 @@ some of the pivots, large cells split. A directory tells under which pivots a bl
 postings; a query visits only the blocks that have some under its first pivots.
 
 Defined results: vectors that are null, empty, zero, hold nulls or non-finite components, or
-are of another dimension than most (of equals the smaller) take no part, nor do rows with a
+are of another dimension than most rows (of equals the smaller) take no part, nor do rows with a
 null id; rows with equal ids and vectors count once; equal ids with different vectors are
 separate candidates and queries; ties of scores go to the smaller id; an empty table gives an
 empty result; other columns are left alone."""
@@ -50,11 +50,10 @@ INDEX = "block int, vid long, v array<double>, ids array<long>, perm array<int>"
 
 
 def usable(rows: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """vec_id, v: the vectors that take part, as doubles."""
+    """vec_id, v: the vectors that take part, as doubles; rows may repeat."""
     v = F.col(vector).cast("array<double>")
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    kept = rows.where(F.col(key).isNotNull() & F.coalesce(sound, F.lit(False)))
-    found = kept.select(F.col(key).cast("long").alias("vec_id"), v.alias("v")).distinct()
+    found = rows.where(F.col(key).isNotNull() & F.coalesce(sound, F.lit(False))).select(F.col(key).cast("long").alias("vec_id"), v.alias("v"))
     sizes = found.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
     return found.where(F.size("v") == (sizes[0]["dim"] if sizes else 0))
 
@@ -173,6 +172,15 @@ def build_index(vectors: DataFrame, order: int = ORDER) -> tuple[DataFrame, Pivo
     return index, pivots, pivots.orders(drawn[n_pivots:]) if n > FLOOR and len(drawn) > n_pivots else np.zeros((0, 0), np.int64)
 
 
+def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pivots under which each block has postings, once for each batch."""
+    for batch in batches:
+        perm = matrix(batch.column(1))
+        if len(perm):
+            pairs = np.unique(np.repeat(batch.column(0).to_numpy().astype(np.int64), perm.shape[1]) << 32 | perm.ravel())
+            yield pa.RecordBatch.from_arrays([pa.array(pairs >> 32, pa.int32()), pa.array(pairs & 0xFFFFFFFF, pa.int32())], names=["block", "pivot"])
+
+
 def bounded(pivots: Pivots, sample: np.ndarray, n: int, queries: DataFrame) -> DataFrame:
     """query, v, perm and the queries' bounds on what orders share: those that the sample says
     about RERANK times the root of n vectors reach; 0 without a sample."""
@@ -214,7 +222,7 @@ def search(index: DataFrame, pivots: Pivots, sample: np.ndarray, queries: DataFr
     """query, hits: the k nearest rows found for each of the vectors (query, v)."""
     n, last, dim = index.agg(F.count("*"), F.max("block"), F.max(F.size("v"))).first()
     asked = materialize(bounded(pivots, sample, n, queries), "asked")
-    directory = index.select("block", F.explode("perm").alias("pivot")).distinct()
+    directory = map_batches(index.select("block", "perm"), _posted, "block int, pivot int").distinct()
     led = asked.select("query", F.explode(F.slice("perm", 1, LEADING)).alias("pivot"))
     visits = materialize(led.join(directory, "pivot").select("query", "block").distinct(), "visits")
     hits = materialize(merged(visit(index, len(pivots.axes), dim, asked, visits, k), k), "hits")
@@ -228,16 +236,16 @@ def search(index: DataFrame, pivots: Pivots, sample: np.ndarray, queries: DataFr
 
 def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, order: int = ORDER) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query, its own row left out.
-    Both tables have vec_id and v, as ``usable`` gives them, and are written tables."""
+    Both tables have vec_id and v, as ``usable`` gives them."""
     spark = vectors.sparkSession
     ship(spark)
     smallest = Window.partitionBy("v").orderBy("vec_id")
-    few = vectors.withColumn("n", F.row_number().over(smallest)).where(F.col("n") <= k + 1)
+    few = vectors.distinct().withColumn("n", F.row_number().over(smallest)).where(F.col("n") <= k + 1)
     entries = materialize(few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("vid", F.monotonically_increasing_id()), "entries")
     if entries.isEmpty():
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     index, pivots, sample = build_index(entries, order)
-    index = materialize(index, "index")
+    queries = materialize(queries.distinct(), "query-rows")
     asked = materialize(queries.select("v").distinct().withColumn("query", F.monotonically_increasing_id()), "queries")
     hits = search(index, pivots, sample, asked, k + 1)
     own = queries.join(asked, "v").join(entries.select("v", "vid"), "v", "left").select(F.col("vec_id").alias("query_id"), "query", "vid")
@@ -247,5 +255,5 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, orde
 
 def self_search(rows: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     """Searches with every row whose id is divisible by ``every``, against all rows."""
-    vectors = materialize(usable(rows), "vectors")
+    vectors = usable(rows)
     return nearest_neighbours(vectors, vectors.where(F.col("vec_id") % every == 0), k)
