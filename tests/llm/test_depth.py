@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tokenloom.llm import common, licenses, media, neardup, pii, queries, token_store
+from tokenloom.llm import common, licenses, media, neardup, pii, queries, token_store, toxicity
 from tokenloom.llm.queries import PIECE_BPE, WORD_BPE
 
 #: Two words of one hash (without a salt).
@@ -328,3 +328,56 @@ def test_query_op9_and_op10(spark, sf):
     assert len(placed) == len(sf[1]) and {r.shard for r in placed} <= set(range(32))
     classes = {r.doc_id: r.class_id for r in _result(spark, sf, "op10_dart_minhash", doc_id="bigint", class_id="bigint")}
     assert classes[len(TEXTS)] == 4 == classes[4] and classes[1] == classes[2] == 1 and classes[0] == 0 and len(classes) == len(sf[1])
+
+
+# --- scores of toxicity by a plain way ----------------------------------------------------------
+
+
+def _distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        above, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            above, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, above + (x != y))
+    return row[-1]
+
+
+def _plain_score(model: toxicity.Model, text: str) -> float:
+    words = [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"[^\W_]+", text)]
+    used, misspelled, quoted_sum, aimed_count, strongest = 0.0, 0.0, 0.0, 0, 0.0
+    for i, (w, begin, end) in enumerate(words):
+        best = None
+        for k, (term, stem) in enumerate(model.terms):
+            allowed = 0 if stem else (len(term) >= 5) + (len(term) >= 9)
+            if stem and w.startswith(term):
+                best = min(best or (9,), (0, 1, -len(term), k))
+            elif not stem and (d := _distance(w, term)) <= allowed:
+                best = min(best or (9,), (d, 0 if d == 0 else 2, 0, k))
+        if best is None:
+            continue
+        errors, weight = best[0], model.weights[best[3]]
+        before = {x for x, *_ in words[max(0, i - 4) : i]}
+        around = before | {x for x, *_ in words[i + 1 : i + 5]}
+        ahead, behind = text[max(0, begin - 60) : begin].rpartition("\n")[2], text[end : end + 60].partition("\n")[0]
+        quoted = ahead.count('"') % 2 == 1 and '"' in behind or bool(before & toxicity.REPORTING)
+        if quoted:
+            quoted_sum += weight
+        elif errors:
+            misspelled += weight
+        else:
+            used += weight
+        aimed = bool(around & toxicity.ADDRESSING) and not quoted
+        aimed_count += aimed
+        strongest = max(strongest, 0.0 if quoted else weight * (0.5 if errors else 1.0))
+    x = [np.log1p(used), np.log1p(misspelled), np.log1p(quoted_sum), np.log1p(aimed_count), strongest, np.log1p(used) / max(1, len(words)) * 10, np.log1p(len(words))]
+    x[5] = used / max(1, len(words)) * 10
+    return float(1 / (1 + np.exp(-np.clip(model.beta[0] + np.dot(model.beta[1:], x), -30, 30))))
+
+
+def test_scores_equal_a_plain_way(spark):
+    model = toxicity.Model([("moron", False), ("idiot", True), ("blockhead", False), ("fool", False)], [3.0, 2.0, 2.5, 1.5], [-1.0, 1.2, 0.7, -0.9, 0.4, 0.3, 0.2, -0.1])
+    texts = ["you moron", "what a m0ron, morron and moroon", 'she said "moron" twice', "he called him a fool", "idiotic idiots everywhere\nyou", "blokheed blockhead", "", "plain words only here", "a fool\nand his money", "foool", "x " * 200 + "moron"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(_plain_score(model, t), rel=1e-9), t
