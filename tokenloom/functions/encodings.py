@@ -50,11 +50,15 @@ def _blank() -> dict[str, Column]:
     return {"type_ids": none, "words": F.lit(None).cast("int"), "offsets": _spot(none, none), "special_tokens_mask": none, "attention_mask": F.lit(1)}
 
 
+def _constant(ids: Column, value: Column) -> Column:
+    """The value once for each id."""
+    return F.when(ids.isNotNull(), F.array_repeat(value, F.size(ids)))
+
+
 def encoding(parts: dict[str, Column]) -> Enc:
     """An encoding of the given columns; missing ones follow from ids."""
     ids = parts["ids"]
-    constant = lambda x: F.transform(ids, lambda _: x)
-    fill = {n: constant(x) for n, x in _blank().items()} | {"tokens": F.transform(ids, lambda x: x.cast("string"))}
+    fill = {n: _constant(ids, x) for n, x in _blank().items()} | {"tokens": F.transform(ids, lambda x: x.cast("string"))}
     return Enc({n: parts.get(n, fill.get(n)).cast(_TYPES[n]) for n in FIELDS})
 
 
@@ -173,11 +177,11 @@ def batch_longest(enc: Enc, batch: Column) -> Column:
 
 
 def _clear_specials(enc: Enc) -> Enc:
-    return enc.with_(special_tokens_mask=F.transform(enc["ids"], lambda _: F.lit(0)))
+    return enc.with_(special_tokens_mask=_constant(enc["ids"], F.lit(0)))
 
 
 def with_type(enc: Enc, type_id: int) -> Enc:
-    return enc.with_(type_ids=F.transform(enc["ids"], lambda _: F.lit(type_id)))
+    return enc.with_(type_ids=_constant(enc["ids"], F.lit(type_id)))
 
 
 @dataclass(frozen=True)
