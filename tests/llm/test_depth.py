@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tokenloom.llm import common, licenses, media, neardup, pii, queries, token_store, toxicity
+from tokenloom.llm import ann, common, licenses, media, neardup, pii, queries, token_store, toxicity
 from tokenloom.llm.queries import PIECE_BPE, WORD_BPE
 
 #: Two words of one hash (without a salt).
@@ -219,6 +219,32 @@ def test_components_of_paths_and_hubs(spark, monkeypatch):
         neardup.components(edges)
 
 
+@pytest.mark.parametrize("n", [2_000, 8_000])
+def test_recall_on_uniform_vectors_at_two_sizes(spark, n):
+    v = np.random.default_rng(n).normal(size=(n, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    out = ann.self_search(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")).collect()
+    got: dict[int, set[int]] = {}
+    for r in out:
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = []
+    for q in range(0, n, 20):
+        score = v @ v[q]
+        score[q] = -9
+        hits.append(len(got[q] & set(np.argpartition(-score, 20)[:20].tolist())) / 20)
+    assert len(got) == n // 20 and all(len(x) == 20 for x in got.values()) and np.mean(hits) >= 0.9
+
+
+def test_equal_vectors_and_ids_in_the_index(spark):
+    r = np.random.default_rng(3)
+    v = [(x / np.linalg.norm(x)).tolist() for x in r.normal(size=(1500, 8))]
+    rows = [(i, v[i]) for i in range(1500)] + [(2000 + i, v[20]) for i in range(400)] + [(40, v[41]), (60, v[60])]
+    out = ann.self_search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    best = sorted((x["rank"], x.vec_id) for x in out if x.query_id == 2020)
+    assert [i for _, i in best] == [20, *(2000 + i for i in range(20) if 2000 + i != 2020)][:20]
+    assert sum(x.query_id == 40 for x in out) == 40 and sum(x.query_id == 60 for x in out) == 20  # two rows of one id, and one twice
+
+
 # --- the registered queries -------------------------------------------------------------------
 
 TEXTS = ["Released under the MIT License by John Smith, jo@mail.example.com", None, "", "you moron " * 3, "words and more words " * 900, "naïve café 中文 😀", "  two  spaces\n"]
