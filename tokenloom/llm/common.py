@@ -319,7 +319,7 @@ class Memo:
     that only shares another's hash is computed anew. Entries are dropped all together beyond
     ``limit`` of them or ``limit_bytes``; that costs time only."""
 
-    def __init__(self, compute: Callable[[list], tuple[list, ...]], dtypes: tuple, limit: int = 500_000, limit_bytes: int = 64 << 20):
+    def __init__(self, compute: Callable[[list], tuple[list, ...]], dtypes: tuple, limit: int = 800_000, limit_bytes: int = 96 << 20):
         self.compute, self.dtypes, self.limit, self.limit_bytes = compute, dtypes, limit, limit_bytes
         self.salt = secrets.randbits(64)
         self._reset()

@@ -40,7 +40,7 @@ STEMS = range(4, 9)
 ONE_ERROR, TWO_ERRORS = 5, 9
 WINDOW = 4
 #: Steps of the automaton that a worker remembers (each is made again on demand).
-STEPS_KEPT = 50_000
+STEPS_KEPT = 400_000
 NEAR_BYTES = 60
 
 #: Words that report speech, and words that address or name someone (fixed values).
@@ -72,9 +72,26 @@ class Lexicon:
                 at = self.child[at][c]
                 self.errors[at] = max(self.errors[at], allowed)
             (self.stem if stem else self.whole).setdefault(at, i)
-        self.start = self._close({(0, 0)})
-        self.step: dict[tuple[frozenset, str], frozenset] = {}
-        self.ends: dict[frozenset, tuple[int, int] | None] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """States have numbers: 0 is the start, and what a state says is kept beside it."""
+        self.number: dict[frozenset, int] = {}
+        self.states: list[frozenset] = []
+        self.stems: list[int | None] = []
+        self.ends: list[tuple[int, int] | None] = []
+        self.step: dict[int, int] = {}
+        self._state(self._close({(0, 0)}))
+
+    def _state(self, states: frozenset) -> int:
+        n = self.number.get(states)
+        if n is None:
+            n = self.number[states] = len(self.states)
+            self.states.append(states)
+            self.stems.append(next((self.stem[node] for node, e in states if not e and node in self.stem), None))
+            ends = [(e, self.whole[node]) for node, e in states if node in self.whole and e <= self.allowed(self.terms[self.whole[node]][0])]
+            self.ends.append(min(ends) if ends else None)
+        return n
 
     @staticmethod
     def allowed(text: str) -> int:
@@ -104,26 +121,25 @@ class Lexicon:
 
     def read(self, word: str) -> tuple[int, int] | None:
         """(number of the term, errors), the fewest errors first; whole words before stems."""
-        states, stem = self.start, None
+        if len(self.step) > STEPS_KEPT:
+            self._forget()
+        at, stem, step, stems = 0, None, self.step, self.stems
         for c in word:
-            key = (states, c)
-            nxt = self.step.get(key)
+            key = at << 21 | ord(c)
+            nxt = step.get(key)
             if nxt is None:
-                if len(self.step) > STEPS_KEPT:
-                    self.step.clear()
-                nxt = self.step[key] = self._next(states, c)
-            states = nxt
-            if not states:
+                nxt = step[key] = self._state(self._next(self.states[at], c))
+            at = nxt
+            if stems[at] is not None:
+                stem = stems[at]
+            elif not self.states[at]:
                 break
-            for node, e in states:
-                if not e and node in self.stem:
-                    stem = self.stem[node]
-        whole = [(e, self.whole[n]) for n, e in states if n in self.whole and e <= self.allowed(self.terms[self.whole[n]][0])]
-        if whole and min(whole)[0] == 0:
-            return min(whole)[1], 0
+        end = self.ends[at]
+        if end and not end[0]:
+            return end[1], 0
         if stem is not None:
             return stem, 0
-        return (min(whole)[1], min(whole)[0]) if whole else None
+        return (end[1], end[0]) if end else None
 
 
 @dataclass
