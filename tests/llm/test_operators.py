@@ -437,6 +437,7 @@ def test_near_duplicates_against_brute_force(spark, none, monkeypatch):
     expect = Counter((i, want[r]) for (i, _), r in zip(rows, roots, strict=True))
     assert Counter(map(tuple, neardup.near_duplicates(docs).collect())) == expect
     monkeypatch.setattr(neardup, "PART_BYTES", 4000)  # large groups in parts give the same
+    monkeypatch.setattr(neardup, "SIGNATURE_BYTES", 2000)
     assert Counter(map(tuple, neardup.near_duplicates(docs).collect())) == expect
     kept = neardup.drop_copies(docs)
     assert kept.columns == docs.columns

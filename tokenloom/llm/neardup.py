@@ -48,8 +48,9 @@ BANDS = COORDINATES // BAND
 #: Agreement of signatures below which a similarity of 0.8 is out of the question (over four
 #: standard deviations of 128 coordinates).
 HOPELESS = 0.64
-#: Bytes of signatures and sets that meet in one task (a single larger set still travels
-#: whole), seeds that every part of a larger group holds, and hashes of sets compared at once.
+#: Bytes of signatures, and of sets with them, that meet in one task (a single larger set still
+#: travels whole), seeds that every part of a larger group holds, and hashes compared at once.
+SIGNATURE_BYTES = 512 << 10
 PART_BYTES = 2 << 20
 SEEDS = 4
 COMPARED = 1 << 18
@@ -315,11 +316,11 @@ def joined(rows: DataFrame, table: DataFrame, on: list[str], many: int) -> DataF
     return rows.join(hubs, on).unionByName(rest)
 
 
-def links_within(members: DataFrame, payload: DataFrame, fn, total: int, part_bytes: int | None = None) -> DataFrame:
+def links_within(members: DataFrame, payload: DataFrame, fn, total: int, part_bytes: int) -> DataFrame:
     """Links (group, a, b) that connect, within each group, all members that ``fn`` links.
     ``members``, ``total`` rows, has group, cid and weight (bytes); ``payload`` has cid and
     what ``fn`` needs."""
-    part_bytes, many = part_bytes or PART_BYTES, total // HUB_SHARE + 1
+    many = total // HUB_SHARE + 1
     sizes = members.groupBy("group").agg(F.count("*").alias("n"), F.sum("weight").alias("bytes")).where("n > 1")
 
     def met(rows: DataFrame) -> DataFrame:
@@ -364,7 +365,7 @@ def candidate_groups(contents: DataFrame) -> DataFrame:
     to another: every two such contents are in one group, as all those are that signatures
     connect."""
     posted = contents.select(F.explode("bands").alias("group"), "cid", F.lit(MEMBER_BYTES).alias("weight"))
-    found = components(links_within(posted, contents.select("cid", "sig"), _resembling, BANDS * contents.count()).select("a", "b"), "groups")
+    found = components(links_within(posted, contents.select("cid", "sig"), _resembling, BANDS * contents.count(), SIGNATURE_BYTES).select("a", "b"), "groups")
     members = found.select(F.col("node").alias("cid"), F.col("root").alias("group")).union(found.select("root", "root").distinct())
     out = materialize(members.join(contents.select("cid", (F.col("size") * 8 + MEMBER_BYTES).alias("weight")), "cid"), "near-groups")
     discard(found)
@@ -398,7 +399,7 @@ def links(docs: DataFrame, contents: DataFrame, similarity: float = SIMILARITY,
     texts = _text_columns(docs).withColumn("id", some_id(F.col("doc_id"))).join(wanted.withColumn("id", some_id(F.col("rep"))), "id")
     sets = _sets(texts.select("k1", "k2", "cid", F.coalesce("text", F.lit("")).alias("text")), weighted).join(contents.select("cid", "sig"), "cid")
     sets = materialize(sets.select("cid", "sig", "shingles"), "near-sets")
-    out = materialize(links_within(groups, sets, _linked(similarity), groups.count()).select("a", "b"), "near-links")
+    out = materialize(links_within(groups, sets, _linked(similarity), groups.count(), PART_BYTES).select("a", "b"), "near-links")
     discard(sets, groups)
     return out
 
