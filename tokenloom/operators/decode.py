@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import cached_property
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.functions import decoders
-from tokenloom.kernels.bpe import Bpe
+from tokenloom.kernels import batches
+from tokenloom.kernels.bpe import Bpe, alphabet_bytes
 from tokenloom.kernels.byte_rank import ByteRank
 from tokenloom.kernels.wordpiece import WordPiece
 from tokenloom.operators.encode import broadcast_model
@@ -44,6 +49,42 @@ def to_internal(id_: Column) -> Column:
     return F.when(id_ >= 4, id_ - 1).otherwise(id_)
 
 
+class _Table:
+    """What ids stand for, by array operations; ids without an entry stand for the last one."""
+
+    def __init__(self, spelled: dict[int, object], other: object, kind: pa.DataType):
+        known = sorted(i for i in spelled if i >= 0)
+        self.ids = np.array(known, np.int64)
+        self.values = pa.array([*(spelled[i] for i in known), other], kind)
+
+    def places(self, ids: np.ndarray) -> np.ndarray:
+        if not len(self.ids):
+            return np.zeros(len(ids), np.int64)
+        at = np.searchsorted(self.ids, ids)
+        return np.where(self.ids[np.minimum(at, len(self.ids) - 1)] == ids, at, len(self.ids))
+
+    def rows(self, ids: np.ndarray, first: np.ndarray, kept: np.ndarray, lost: np.ndarray) -> pa.ListArray:
+        """The values of the kept ids of each row."""
+        edges = np.concatenate([[0], np.cumsum(kept)])[first]
+        return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), self.values.take(pa.array(self.places(ids[kept]))), mask=pa.array(lost))
+
+
+#: Ids that are spelled at a time.
+_IDS = 1 << 18
+
+
+def _id_slices(ids: pa.ListArray):
+    """Parts of a column of id lists with a bounded number of ids, one row at least: ids, where rows begin, null rows."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(ids):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _IDS, side="right")))
+        part = ids[at:stop]
+        first, flat, lost = batches.flattened(part, part)
+        yield part, pc.fill_null(flat, -1).to_numpy(zero_copy_only=False), first, lost
+        at = stop
+
+
 class _Speller:
     """Texts of id lists for models that decode by themselves."""
 
@@ -71,6 +112,46 @@ class _Speller:
                 out.append(self.added[i].content)
         return "".join(out)
 
+    @cached_property
+    def _table(self) -> _Table | None:
+        """The text or the bytes of each id; None where these depend on the ids beside it."""
+        m = self.model
+        if isinstance(m, ByteRank):
+            return _Table(m.bytes_of, b"", pa.binary())
+        if not isinstance(m, Bpe):
+            return _Table({m.external(i): t.replace("▁", " ") for i, t in m.text_of.items()}, "", pa.string())
+        unknown = m.options.unk_token or ""
+        if m.options.byte_level:
+            return _Table({i: alphabet_bytes(t) for i, t in m.token_of.items()}, alphabet_bytes(unknown), pa.binary())
+        return None if m.options.suffix else _Table(m.token_of, unknown, pa.string())
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_table"}
+
+    def column(self, ids: pa.ListArray, skip: bool) -> pa.Array:
+        """The texts of all rows; those with added tokens are spelled one by one."""
+        parts = [self._part(*x, skip) for x in _id_slices(ids)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+    def _part(self, ids: pa.ListArray, flat: np.ndarray, first: np.ndarray, lost: np.ndarray, skip: bool) -> pa.Array:
+        if self._table is None:
+            return pa.array([None if x is None else self(x, skip) for x in ids.to_pylist()], pa.string())
+        rank = isinstance(self.model, ByteRank)
+        kept = ~np.isin(flat, list(self.special)) if skip and not rank else np.ones(len(flat), bool)
+        apart = np.concatenate([[0], np.cumsum(kept & np.isin(flat, list(self.model.special_of if rank else self.added)))])
+        made = pc.binary_join(self._table.rows(flat, first, kept, lost), b"" if pa.types.is_binary(self._table.values.type) else "")
+        if pa.types.is_binary(made.type):
+            made = pa.array([None if b is None else b.decode(errors="replace") for b in made.to_pylist()], pa.string())
+        elif not isinstance(self.model, Bpe):
+            made = pc.utf8_trim(made, " ")
+        odd = np.flatnonzero((apart[first[1:]] > apart[first[:-1]]) & ~lost).tolist()
+        if odd:
+            texts = made.to_pylist()
+            for d in odd:
+                texts[d] = self(flat[first[d] : first[d + 1]].tolist(), skip)
+            made = pa.array(texts, pa.string())
+        return made
+
     def _pieces(self, ids: list[int]) -> str:
         """Spaces at the ends go only where no added token stands."""
         runs: list[str | list[int]] = []
@@ -98,17 +179,18 @@ def decode(df: DataFrame, spec: TokenizerSpec, ids: str = "ids", output: str = "
         skipped = {o.cls_token, o.sep_token, o.pad_token, o.mask_token} if skip_special_tokens else set()
         shared = broadcast_model(spark, spec.model)
 
-        @F.pandas_udf("array<string>")
-        def tokens(s: pd.Series) -> pd.Series:
-            token_of = {i: t for t, i in shared.value.vocab.items() if t not in skipped}
-            return s.map(lambda x: [token_of[i] for i in x if i in token_of], na_action="ignore")
+        @F.arrow_udf("array<string>")
+        def tokens(column: pa.Array) -> pa.Array:
+            table = _Table({i: t for t, i in shared.value.vocab.items() if t not in skipped}, None, pa.string())
+            parts = [table.rows(flat, first, table.places(flat) < len(table.ids), lost) for _, flat, first, lost in _id_slices(column)]
+            return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.string()))
 
         decoder = decoders.from_config(spec.decoder) if spec.decoder else decoders.wordpiece(o.prefix, o.clean_up)
         return df.withColumn("__tokens", tokens(ids)).withColumn(output, decoder(F.col("__tokens"))).drop("__tokens")
     speller = broadcast_model(spark, _Speller(spec))
 
-    @F.pandas_udf("string")
-    def spell(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: speller.value(list(x), skip_special_tokens), na_action="ignore")
+    @F.arrow_udf("string")
+    def spell(column: pa.Array) -> pa.Array:
+        return speller.value.column(column, skip_special_tokens)
 
     return df.withColumn(output, spell(ids))
