@@ -6,11 +6,14 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tokenloom.functions.normalizers import SPACE_CLASS
+from tokenloom.kernels.batches import flattened
 from tokenloom.kernels.bpe import from_alphabet
 
 Decoder = Callable[[Column], Column]
@@ -57,9 +60,9 @@ def bpe(suffix: str = "</w>") -> Decoder:
 
 
 def byte_level(tokens: Column) -> Column:
-    @F.pandas_udf("string")
-    def apply(s: pd.Series) -> pd.Series:
-        return s.map(from_alphabet, na_action="ignore")
+    @F.arrow_udf("string")
+    def apply(texts: pa.Array) -> pa.Array:
+        return pa.array((None if t is None else from_alphabet(t) for t in texts.to_pylist()), pa.string())
 
     return apply(default(tokens))
 
@@ -78,12 +81,26 @@ def fall_back(tokens: list[str]) -> str:
     return "".join(out)
 
 
-def byte_fallback(tokens: Column) -> Column:
-    @F.pandas_udf("string")
-    def apply(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: fall_back(list(x)), na_action="ignore")
+def fall_back_column(column: pa.Array) -> pa.Array:
+    """``fall_back`` of all rows: each distinct token is looked at once. Bytes may be joined with the
+    texts beside them, which never go on with a character; only empty tokens part two runs."""
+    first, flat, lost = flattened(column, column)
+    distinct = flat.dictionary_encode()
+    known = distinct.dictionary.to_pylist()
+    spelled = pa.array([bytes([int(t[3:5], 16)]) if _BYTE.fullmatch(t) else t.encode() for t in known], pa.binary())
+    made = pa.ListArray.from_arrays(pa.array(first, pa.int32()), spelled.take(distinct.indices), mask=pa.array(lost))
+    texts = [None if b is None else b.decode(errors="replace") for b in pc.binary_join(made, b"").to_pylist()]
+    parted = np.concatenate([[0], np.cumsum(pc.fill_null(pc.equal(pc.binary_length(flat), 0), True).to_numpy(zero_copy_only=False))])
+    for d in np.flatnonzero((parted[first[1:]] > parted[first[:-1]]) & ~lost).tolist():
+        texts[d] = fall_back(column[d].as_py())
+    return pa.array(texts, pa.string())
+
+
+_BYTE = re.compile("<0x([0-9A-Fa-f]{2})>")
 
-    return apply(tokens)
+
+def byte_fallback(tokens: Column) -> Column:
+    return F.arrow_udf(fall_back_column, "string")(tokens)
 
 
 def ctc(pad: str = "<pad>", delimiter: str = "|", cleanup: bool = True) -> Decoder:

@@ -34,7 +34,7 @@ def _suffixed(c):
 
 
 def _hex_tokens(c):
-    return F.transform(P.matches(F.hex(F.encode(c, "UTF-8")), ".."), lambda h: F.concat(F.lit("<0x"), h, F.lit(">")))
+    return F.split(F.rtrim(F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "<0x$1> ")), " ")
 
 
 def _halves(c):
