@@ -88,3 +88,15 @@ def test_batches_are_bounded_for_a_session(spark, tmp_path):
 def test_words_are_counted(spark):
     df = spark.createDataFrame([("a bb a",), (None,), ("bb é",)], "text string")
     assert {r.w: r.n for r in count_words(df, "[a-z]+").collect()} == {"a": 2, "bb": 2}
+
+
+def test_sequences_in_any_order(spark):
+    from tokenloom.functions import encodings as X
+
+    df = spark.createDataFrame([([1, 2],), ([],), ([1, 2, 3, 4, 5],), (None,)], "ids array<int>")
+    one = X.encoding({"ids": F.col("ids")})
+    lit = lambda *r: {k: (F.lit(a), F.lit(b)) for k, a, b in r}
+    for ranges in ([(0, 1, 3), (1, 3, 4)], [(1, 3, 4), (0, 0, 2)], [(0, 0, 9)], []):
+        e = X.Enc(one.fields, None, lit(*ranges))
+        for r in df.select("ids", X.sequence_ids(e).alias("s")).collect():
+            assert r.s == (None if r.ids is None else [next((k for k, a, b in reversed(ranges) if a <= i < b), None) for i in range(len(r.ids))])

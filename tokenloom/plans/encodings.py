@@ -25,7 +25,7 @@ def _orders(spark, sf_dir):
 
 
 def _joined(column):
-    return F.array_join(F.transform(column, lambda x: F.coalesce(x.cast("string"), F.lit("-"))), " ")
+    return F.array_join(column.cast("array<string>"), " ", "-")
 
 
 def _shown(enc):
