@@ -56,10 +56,17 @@ class _Table:
         known = sorted(i for i in spelled if i >= 0)
         self.ids = np.array(known, np.int64)
         self.values = pa.array([*(spelled[i] for i in known), other], kind)
+        self.dense = None  # the place of each id, where ids leave few gaps
+        if known and known[-1] < 16 * len(known) + 1024:
+            self.dense = np.full(known[-1] + 2, len(known), np.int32)
+            self.dense[self.ids] = np.arange(len(known))
 
     def places(self, ids: np.ndarray) -> np.ndarray:
         if not len(self.ids):
             return np.zeros(len(ids), np.int64)
+        if self.dense is not None:
+            last = len(self.dense) - 1  # stands for all ids that aren't there
+            return self.dense[np.where((ids < 0) | (ids > last), last, ids)]
         at = np.searchsorted(self.ids, ids)
         return np.where(self.ids[np.minimum(at, len(self.ids) - 1)] == ids, at, len(self.ids))
 
