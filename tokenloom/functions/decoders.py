@@ -35,15 +35,18 @@ def wordpiece(prefix: str = "##", cleanup: bool = True) -> Decoder:
     def apply(tokens: Column) -> Column:
         glued = F.transform(tokens, lambda t, i: F.when(t.startswith(prefix), F.substring(t, F.lit(len(prefix) + 1), F.length(t))).when(i == 0, t).otherwise(F.concat(F.lit(" "), t)))
         text = F.array_join(glued, "")
-        if not cleanup:
-            return text
-        text = F.regexp_replace(text, rf"[{SPACE_CLASS}]+([.!?,])", "$1")
-        text = F.regexp_replace(text, rf"(?i)[{SPACE_CLASS}]+'[{SPACE_CLASS}]*({_TAILS})(?![\p{{L}}\p{{N}}_])", "'$1")
-        return F.regexp_replace(F.regexp_replace(text, rf"[{SPACE_CLASS}]+", " "), r"^ | \z", "")
+        return wordpiece_cleanup(text) if cleanup else text
 
     return apply
 
 
+def wordpiece_cleanup(text: Column) -> Column:
+    """No white space before signs and English endings, single spaces elsewhere, none at the ends."""
+    text = F.regexp_replace(text, rf"[{SPACE_CLASS}]+([.!?,])", "$1")
+    text = F.regexp_replace(text, rf"(?i)[{SPACE_CLASS}]+'[{SPACE_CLASS}]*({_TAILS})(?![\p{{L}}\p{{N}}_])", "'$1")
+    return F.regexp_replace(F.regexp_replace(text, rf"[{SPACE_CLASS}]+", " "), r"^ | \z", "")
+
+
 def bpe(suffix: str = "</w>") -> Decoder:
     """The suffix as a space, at the last token as nothing; no white space at the end."""
 

@@ -76,6 +76,26 @@ class _Table:
         return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), self.values.take(pa.array(self.places(ids[kept]))), mask=pa.array(lost))
 
 
+class _Glued(_Table):
+    """Words of pieces: those with the prefix go on with the word before, the others start one."""
+
+    def __init__(self, spelled: dict[int, str], prefix: str):
+        head = {i: t[len(prefix) :] if t.startswith(prefix) else t for i, t in spelled.items()}
+        super().__init__(head, "", pa.string())
+        later = [t[len(prefix) :] if t.startswith(prefix) else f" {t}" for t in (spelled[i] for i in self.ids.tolist())]
+        self.values = pa.concat_arrays([self.values, pa.array(later, pa.string())])
+
+    def texts(self, ids: np.ndarray, first: np.ndarray, lost: np.ndarray) -> pa.Array:
+        """Each row's pieces in one text, unknown ids left out."""
+        place = self.places(ids).astype(np.int64)
+        kept = place < len(self.ids)
+        edges = np.concatenate([[0], np.cumsum(kept)])[first]
+        place = place[kept] + len(self.ids) + 1
+        heads = edges[:-1][np.diff(edges) > 0]
+        place[heads] -= len(self.ids) + 1
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), self.values.take(pa.array(place)), mask=pa.array(lost)), "")
+
+
 #: Ids that are spelled at a time.
 _IDS = 1 << 18
 
@@ -186,14 +206,24 @@ def decode(df: DataFrame, spec: TokenizerSpec, ids: str = "ids", output: str = "
         skipped = {o.cls_token, o.sep_token, o.pad_token, o.mask_token} if skip_special_tokens else set()
         shared = broadcast_model(spark, spec.model)
 
+        own = decoders.from_config(spec.decoder) if spec.decoder else None
+        known = lambda: {i: t for t, i in shared.value.vocab.items() if t not in skipped}
+
         @F.arrow_udf("array<string>")
         def tokens(column: pa.Array) -> pa.Array:
-            table = _Table({i: t for t, i in shared.value.vocab.items() if t not in skipped}, None, pa.string())
+            table = _Table(known(), None, pa.string())
             parts = [table.rows(flat, first, table.places(flat) < len(table.ids), lost) for _, flat, first, lost in _id_slices(column)]
             return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.string()))
 
-        decoder = decoders.from_config(spec.decoder) if spec.decoder else decoders.wordpiece(o.prefix, o.clean_up)
-        return df.withColumn("__tokens", tokens(ids)).withColumn(output, decoder(F.col("__tokens"))).drop("__tokens")
+        @F.arrow_udf("string")
+        def glued(column: pa.Array) -> pa.Array:
+            table = _Glued(known(), o.prefix)
+            parts = [table.texts(flat, first, lost) for _, flat, first, lost in _id_slices(column)]
+            return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+        if own:
+            return df.withColumn("__tokens", tokens(ids)).withColumn(output, own(F.col("__tokens"))).drop("__tokens")
+        return df.withColumn(output, decoders.wordpiece_cleanup(glued(ids)) if o.clean_up else glued(ids))
     speller = broadcast_model(spark, _Speller(spec))
 
     @F.arrow_udf("string")
