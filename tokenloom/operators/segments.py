@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tokenloom.functions.pretokenizers import PreTokenizer
 from tokenloom.kernels import batches
@@ -14,6 +17,7 @@ from tokenloom.session import ship
 SPOTS = "array<struct<start: int, end: int>>"
 _SPOT = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 _PART = 1 << 20
+SEGMENT_ROW = T.StructType().add("pos", "integer").add("segment", "string").add("start", "integer").add("end", "integer")
 
 
 def _spots(in_bytes: bool):
@@ -46,10 +50,17 @@ def places(text: Column, segments: Column, unit: str = "characters") -> Column:
 
 def segments_relation(df: DataFrame, split: PreTokenizer, text: str = "text", keys: list[str] | None = None, unit: str = "characters") -> DataFrame:
     """One row a segment: the keys, pos, segment, start, end. Texts have to hold their
-    segments unchanged."""
+    segments unchanged. Workers give the rows themselves."""
     ship(df.sparkSession)
     kept = [c for c in df.columns if c != text] if keys is None else keys
     cut = df.select(*kept, F.col(text).alias("__t"), split(F.col(text)).alias("__s"))
-    zipped = F.arrays_zip(F.col("__s").alias("segment"), places(F.col("__t"), F.col("__s"), unit).alias("o"))
-    rows = cut.select(*kept, F.posexplode(zipped).alias("pos", "x"))
-    return rows.select(*kept, "pos", "x.segment", F.col("x.o.start").alias("start"), F.col("x.o.end").alias("end"))
+    schema, in_bytes = T.StructType([*(df.schema[k] for k in kept), *SEGMENT_ROW.fields]), unit == "bytes"
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        *own, texts, segments = batch.columns
+        for i, j in batches.slices(texts, _PART):
+            placed = _placed(texts[i:j], segments[i:j], in_bytes)
+            spots, flat = placed.flatten(), batches.flattened(texts[i:j], segments[i:j])[1]
+            yield from batches.exploded([c[i:j] for c in own], placed, [flat, spots.field("start"), spots.field("end")], schema.names)
+
+    return batches.mapped(cut, run, schema)
